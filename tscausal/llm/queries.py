@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, simhash, tokens, topk
 from .common import table
 
 
+def op3_token_counts(spark, sf_dir):
+    return tokens.op3_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark, sf_dir):
+    return mixing.op4_mixing(table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark, sf_dir):
+    return topk.op5_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.op7_simhash(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
     "op7_simhash": op7_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_topk": topk.OP5_SQL,
+}
