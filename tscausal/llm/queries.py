@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, tokens, topk
+from . import mixing, quality, simhash, tokens, topk
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_topk(spark, sf_dir):
     return topk.op5_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality(spark, sf_dir):
+    return quality.op6_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.op7_simhash(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
 }
 
