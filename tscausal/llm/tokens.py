@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Fixed value: the split pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -40,14 +42,14 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     return docs.select("text").mapInArrow(run, "length long, n_docs long")
 
 
-def histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
+def histogram(lengths: DataFrame, block: int = 64) -> DataFrame:
     """One row per occurring length: n_docs, and the sums that answer totals, quantiles and truncated totals.
 
     ``docs_from`` / ``tokens_from``: documents of at least this length and their tokens. ``docs_share``: documents of
     at most this length as a share of all (the quantile). ``kept_at``: tokens left if every document is cut to this
     length; ``lost_at``: tokens cut off by that.
     """
-    each = lengths.groupBy("length").agg(F.sum("n_docs").alias("n_docs")).withColumn("block", F.floor(F.col("length") / block))
+    each = durable(lengths.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))).withColumn("block", F.floor(F.col("length") / block))
     tokens = F.col("length") * F.col("n_docs")
     blocks = each.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
