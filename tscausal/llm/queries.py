@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, tokens, topk
+from . import decontaminate, html, mixing, quality, simhash, tokens, topk
 from .common import table
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.op1_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark, sf_dir):
     return tokens.op3_token_counts(table(spark, sf_dir, "documents"))
 
@@ -26,12 +30,18 @@ def op7_simhash(spark, sf_dir):
     return simhash.op7_simhash(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark, sf_dir):
+    return html.op10_html(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
