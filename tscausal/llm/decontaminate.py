@@ -1,7 +1,7 @@
 """Benchmark decontamination: windows of a document that are within an edit distance of a benchmark item.
 
-Texts are compared as lower-case words. Every place of a document where three words of an item recur fixes an
-item-sized window (all such windows are taken). CGK random walks (Chakraborty, Goldenberg, Koucky 2016) map windows and
+Texts are compared as lower-case words. Every place of a document where two neighbouring words of an item recur (of
+eight letters together; an item with few such pairs: any three words) fixes an item-sized window, and all are taken. CGK random walks (Chakraborty, Goldenberg, Koucky 2016) map windows and
 items to strings in which edits became substitutions: the walk repeats or advances a character by a random bit that
 depends on the step and the character, so two walks drift back together after an edit. On the walks, bit-sampling LSH
 over several repetitions keeps the windows that agree with the item in all sampled places of some band; with
@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +54,16 @@ def edit_distance_in(pattern: bytes, text: bytes) -> int:
 class Matcher:
     """One block of items, ready to be looked for."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], share: float = 0.2, recall: float = 0.98, agreement: float = 0.5, min_words: int = 8, sampled: int = 4, walks: int = 4, seed: int = 11):
+    def __init__(self, items: Sequence[tuple[int, str]], share: float = 0.2, recall: float = 0.98, agreement: float = 0.3, min_words: int = 8, seed_letters: int = 8, sampled: int = 3, walks: int = 4, seed: int = 11):
         kept = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if len(w) >= min_words]
         self.share, self.ids, self.words = share, [i for i, _ in kept], [w for _, w in kept]
         self.texts = [b" ".join(w) for w in self.words]
         self.seeds: dict[tuple, list] = defaultdict(list)
         for k, w in enumerate(self.words):
-            for at, gram in enumerate(zip(w, w[1:], w[2:])):
+            pairs = [(g, at) for at, g in enumerate(zip(w, w[1:])) if len(g[0]) + len(g[1]) >= seed_letters]
+            for gram, at in pairs if len(pairs) > 4 else [(g, at) for at, g in enumerate(zip(w, w[1:], w[2:]))]:
                 self.seeds[gram].append((k, at))
+        self.triples = any(len(g) == 3 for g in self.seeds)
         random = np.random.default_rng(seed)
         bands = math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled))
         self.width = max(map(len, self.texts), default=1) * 5 // 4 + 16
@@ -101,7 +104,8 @@ class Matcher:
         waiting: list[tuple] = []
         for n, text in enumerate(texts):
             words = words_of(text)
-            places = {(k, i - at) for i, gram in enumerate(zip(words, words[1:], words[2:])) if gram in self.seeds for k, at in self.seeds[gram]}
+            grams = chain(enumerate(zip(words, words[1:])), enumerate(zip(words, words[1:], words[2:])) if self.triples else ())
+            places = {(k, i - at) for i, gram in grams if gram in self.seeds for k, at in self.seeds[gram]}
             for k, start in sorted(places):
                 size = len(self.words[k])
                 window, around = words[max(0, start) : start + size], words[max(0, start - 4) : start + size + 4]
