@@ -186,14 +186,16 @@ def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> D
     return many.join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, salts: int = 64) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html); null html is empty, text then ''.
 
     A host's templates are few beside its pages (each stands on a tenth of them at least and is on the page whole), so
-    they are gathered per host; the join is one that Spark may split for a hot host.
+    they are gathered per host and repeated for ``salts`` parts of the host's pages, over which a hot host is spread.
     """
     lists = templates(pages, min_pages, min_share).groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("cut"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host")).join(lists, "host", "left")
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"), salt.alias("salt")).join(lists, ["host", "salt"], "left")
 
     def run(batches):
         for batch in batches:
