@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, quality, simhash, tokens, topk
+from . import decontaminate, html, mixing, quality, simhash, suffix, tokens, topk
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.op1_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix.op2_suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark, sf_dir):
     return tokens.op3_token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_html(spark, sf_dir):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
