@@ -309,7 +309,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band:
     return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, gram long, segment long, weight long, shift int, windows int, bytes binary")
 
 
-def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 3 << 20) -> DataFrame:
+def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """(gram, segment, first, windows): runs of repeated windows, from one suffix array per route."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
