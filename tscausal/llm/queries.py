@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, quality, simhash, suffix, tokens, topk
+from . import decontaminate, html, lm, mixing, quality, simhash, suffix, tokens, topk
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.op7_simhash(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark, sf_dir):
+    return lm.op9_lm(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark, sf_dir):
     return html.op10_html(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op9_lm": op9_lm,
     "op10_html": op10_html,
 }
 
