@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, lm, mixing, quality, simhash, suffix, tokens, topk
+from . import decontaminate, html, licenses, lm, mixing, quality, simhash, suffix, tokens, topk
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.op7_simhash(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark, sf_dir):
+    return licenses.op8_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_lm(spark, sf_dir):
     return lm.op9_lm(table(spark, sf_dir, "documents"))
 
@@ -50,10 +54,12 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_licenses": op8_licenses,
     "op9_lm": op9_lm,
     "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_topk": topk.OP5_SQL,
+    "op8_licenses": licenses.op8_sql(),
 }
