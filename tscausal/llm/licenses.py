@@ -13,9 +13,11 @@ import json
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import durable
+
 # The notices that the public licences ask for or open with, in normal form (digits as 0).
 TEMPLATES = {
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "spdx license identifier mit"],
@@ -189,7 +191,7 @@ def scan(docs: DataFrame, probability: float = 0.5, agreement: float = 0.8) -> D
     often is classified once.
     """
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(PATTERN)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    lines = lines.where(F.col("paragraph").rlike(PATTERN)).withColumn("form", normal(F.col("paragraph")))
+    lines = durable(lines.where(F.col("paragraph").rlike(PATTERN)).withColumn("form", normal(F.col("paragraph"))))
     found = classify(lines.select("form").distinct(), probability, agreement)
     number = F.regexp_extract("paragraph", r"(?i)(?:version|v\.?|apache|gpl|mpl|by|nc|sa|nd|attribution|noncommercial|sharealike|noderivatives)[ -]*([0-9]+(?:\.[0-9]+)*)", 1)
     return lines.join(found, "form").select("doc_id", "line", "family", F.nullif(number, F.lit("")).alias("version"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
