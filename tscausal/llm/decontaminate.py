@@ -136,8 +136,9 @@ def with_matches(docs: DataFrame, items: DataFrame, keep: list[str], column: str
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
-    rest = [c for c in docs.columns if c not in keep and c == "text"]
-    out, fields = docs.select(*keep, *rest), None
+    keep = [c for c in keep if c != column]
+    rest = [] if "text" in keep else ["text"]
+    out, fields = docs.select(*(f"`{c}`" for c in (*keep, *rest))), None
     for block in range(blocks):
         held = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()]
         shipped = docs.sparkSession.sparkContext.broadcast(held)

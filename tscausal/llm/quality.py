@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, schema_of
 
 FEATURES = ("log_words", "word_length", "longest_word", "distinct", "echo", "upper", "digits", "stops", "commas", "marks", "symbols", "wide", "log_lines", "line_words", "line_distinct", "capitals", "tails")
 
@@ -166,7 +166,8 @@ def learn(table: DataFrame, labels: DataFrame, max_rows: int = 30000) -> Additiv
 
 
 def with_score(docs: DataFrame, model: AdditiveModel, column: str = "quality_score") -> DataFrame:
-    """``docs`` with the score of each text as one more column."""
+    """``docs`` with the score of each text as one more column, in place of any of that name."""
+    docs = docs.drop(column)
 
     def run(batches):
         for batch in batches:
@@ -174,7 +175,7 @@ def with_score(docs: DataFrame, model: AdditiveModel, column: str = "quality_sco
             scores = model.score(np.array([features(t or b"") for t in texts]).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` double")
+    return docs.mapInArrow(run, schema_of(docs) + f", `{column}` double")
 
 
 def op6_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

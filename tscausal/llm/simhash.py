@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable
+from .common import components, durable, unused
 
 FAN = 4
 
@@ -164,6 +164,13 @@ def links(prints: DataFrame, limit: int = 2, blocks: int = 4) -> DataFrame:
     return keyed.repartition("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def classes(prints: DataFrame, limit: int = 2) -> DataFrame:
+    """(print, root) for every different fingerprint: root names its class of linked fingerprints."""
+    distinct = prints.select("print").distinct()
+    joined = components(links(distinct, limit)).select(F.col("node").alias("print"), "root")
+    return distinct.join(joined, "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, limit: int = 2, width: int = 3) -> DataFrame:
     """(doc_id, print, component_id) of every document: near-duplicate classes of SimHash fingerprints.
 
@@ -172,12 +179,20 @@ def near_duplicates(docs: DataFrame, limit: int = 2, width: int = 3) -> DataFram
     like any other; repeated rows stay.
     """
     each = durable(fingerprints(docs, width))
-    distinct = each.groupBy("print").agg(F.min("doc_id").alias("least"))
-    joined = components(links(distinct.select("print"), limit))
-    rooted = distinct.join(joined.select(F.col("node").alias("print"), "root"), "print", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "print"))
+    rooted = durable(each.groupBy("print").agg(F.min("doc_id").alias("least")).join(classes(each, limit), "print"))
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(rooted.select("print", "root").join(tops, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    return each.join(rooted.join(tops, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+
+
+def keep_one(docs: DataFrame, limit: int = 2, width: int = 3) -> DataFrame:
+    """One document of each near-duplicate class, the one with the smallest doc_id (nulls last), with all its columns."""
+    row = unused(docs, "_row")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so the numbers stay
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    each = durable(fingerprints(ids.select(F.col("row").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "row"))
+    ranked = ids.select("row", "doc_id").join(each, "row").join(classes(each, limit), "print")
+    first = ranked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    return numbered.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op7_simhash(docs: DataFrame) -> DataFrame:

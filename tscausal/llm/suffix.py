@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, schema_of, unused
 
 GRAM = 192
 _PLACES = np.uint64((1 << 30) - 1)
@@ -364,29 +364,33 @@ def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band:
     return every.groupBy("key", "size").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
 
 
-def with_repeats_cut(docs: DataFrame, length: int = 400) -> DataFrame:
+def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
     """``docs`` with four more columns: n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
+    With ``as_text`` kept is a string instead; bytes of characters that a cut went through are left out.
+
     Texts are UTF-8 bytes, null is empty. Repeated rows are documents of their own, so each is the other's repeat.
-    Texts shorter than ``length`` keep everything.
+    Texts shorter than ``length`` keep everything. The four take the place of columns of these names.
     """
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    key, size, marks = (unused(docs, x) for x in ("_key", "_size", "_runs"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_key": F.xxhash64(text), "_size": F.octet_length(text)})
-    texts = keyed.select(F.col("_key").alias("key"), F.col("_size").alias("size"), text.alias("text"))
-    found = repeated_windows(texts, length).select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("runs").alias("_runs"))
+    keyed = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
+    texts = keyed.select(F.col(key).alias("key"), F.col(size).alias("size"), text.alias("text"))
+    found = repeated_windows(texts, length).select(F.col("key").alias(key), F.col("size").alias(size), F.col("runs").alias(marks))
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            gone = [merged([(r["first"], r["windows"]) for r in x or ()], length) for x in batch.column(batch.schema.get_field_index("_runs")).to_pylist()]
+            gone = [merged([(r["first"], r["windows"]) for r in x or ()], length) for x in batch.column(batch.schema.get_field_index(marks)).to_pylist()]
             kept = [cut(t or b"", g) for t, g in zip(texts, gone)]
             sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
-            more = [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], dtype=np.int64)), pa.array([len(g) for g in gone], pa.int64()), pa.array(kept, pa.binary())]
+            more = [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], dtype=np.int64)), pa.array([len(g) for g in gone], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    return keyed.join(found, ["_key", "_size"], "left").select(*(f"`{n}`" for n in names), "_runs").mapInArrow(run, shape)
+    shape = schema_of(docs) + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    return keyed.join(found, [key, size], "left").select(*(f"`{n}`" for n in names), marks).mapInArrow(run, shape)
 
 
 def op2_suffix_dedup(docs: DataFrame) -> DataFrame:
