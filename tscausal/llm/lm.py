@@ -16,7 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -73,6 +73,14 @@ def class_masses(counts: DataFrame, words: list[bytes]) -> np.ndarray:
     return out
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the largest counts, as many whole counts as give at most ``most`` words."""
+    down = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(down)).where(F.col("n") <= most)
+    least = sizes.agg(F.min("c")).first()[0]  # one row per different count
+    return counts.where(F.col("c") >= least) if least else counts.where("false")
+
+
 class Symbols:
     """Numbers of the symbols, most mass first, and what the base model needs of the frequent words."""
 
@@ -97,7 +105,7 @@ class Symbols:
         return np.array([own[w] if w in own else classes[class_of(w)] for w in words] + [self.end], dtype=np.int64)
 
 
-def model_scores(docs: DataFrame, frequent_words: int = 200_000, own_symbols: int = 3900, train_docs: int = 1500, hidden: int = 32) -> DataFrame:
+def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: int = 3900, train_docs: int = 1500, hidden: int = 24) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
     Documents whose crc32(doc_id) mod 5 is 1 are held out of all learning; a null id is not held out. Null and empty
@@ -113,7 +121,7 @@ def model_scores(docs: DataFrame, frequent_words: int = 200_000, own_symbols: in
     n_docs = training.count()
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens, n_types = n_words + n_docs, n_types + (n_docs > 0)
-    frequent = [(bytes(r.token), r.c) for r in counts.orderBy(F.desc("c"), "token").limit(frequent_words).collect()]
+    frequent = sorted(((bytes(r.token), r.c) for r in most_frequent(counts, frequent_words).collect()), key=lambda x: (-x[1], x[0]))
     symbols = Symbols(frequent, own_symbols, class_masses(counts, [w for w, _ in frequent[:own_symbols]]), n_docs, n_tokens, n_types)
     model = Gru(symbols.mass, hidden)
     sample = training.select("text", F.xxhash64("key", "size").alias("turn")).orderBy("turn", "text").limit(train_docs).select("text").collect()
