@@ -352,7 +352,8 @@ def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band:
         raise ValueError(f"length must be at least {GRAM + band}")
     pieces = durable(_pieces(texts, length))
     grams = pieces.groupBy("gram").agg(F.count("*").alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
-    shared = durable(pieces.join(grams.select("gram", "equal"), "gram"))
+    # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
+    shared = durable(pieces.join(durable(grams.select("gram", "equal")), "gram"))
     differing = shared.where("NOT equal").groupBy("gram", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("key", "size", "first", "windows", "ahead")).alias("at"))
     kinds = differing.groupBy("gram").agg(F.count("*").alias("different"))
     part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
