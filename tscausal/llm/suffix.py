@@ -359,10 +359,13 @@ def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band:
     part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
     wanted = differing.join(kinds, "gram").groupBy("at.key", "at.size").agg(F.collect_list(part).alias("parts"))
     found = durable(_sorted_out(_segments(texts, wanted, length, many, band), length))
-    whole = shared.where("equal").select("key", "size", "first", "windows")
-    back = shared.where("NOT equal").select("key", "size", F.col("first").alias("base"), "gram", "segment").join(found, ["gram", "segment"])
-    every = whole.union(back.select("key", "size", (F.col("base") + F.col("first")).cast("int"), "windows"))
-    return every.groupBy("key", "size").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    # The runs of a segment join as one list, so that a piece stays one row however many there are.
+    lists = found.groupBy("gram", "segment").agg(F.sort_array(F.collect_list(F.struct("first", "windows"))).alias("hits"))
+    whole = shared.where("equal").select("key", "size", F.array(F.struct("first", "windows")).alias("runs"))
+    back = shared.where("NOT equal").select("key", "size", F.col("first").alias("base"), "gram", "segment").join(lists, ["gram", "segment"])
+    moved = F.transform("hits", lambda x: F.struct((F.col("base") + x["first"]).alias("first"), x["windows"].alias("windows")))
+    every = whole.union(back.select("key", "size", moved.alias("runs")))
+    return every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
