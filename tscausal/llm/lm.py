@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,12 +98,24 @@ class Symbols:
                 self.classes[k] = i
             elif kind == 2:
                 self.end = i
-        self.frequent = {w: float(np.log10((c + 0.5) / self.total)) for w, c in frequent}
         self.end_base, self.end_known = float(np.log10((n_docs + 0.5) / self.total)), int(n_docs > 0)
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        own, classes = self.words, self.classes
-        return np.array([own[w] if w in own else classes[class_of(w)] for w in words] + [self.end], dtype=np.int64)
+        # One lookup per word: place of a frequent word, and by place its symbol and base log-probability.
+        self.place = {w: i for i, (w, _) in enumerate(frequent)}
+        self.symbol_at = np.array([self.words[w] if w in self.words else self.classes[class_of(w)] for w, _ in frequent], dtype=np.int64)
+        self.log_at = np.log10((np.array([c for _, c in frequent], dtype=np.float64) + 0.5) / self.total)
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, float, Counter]:
+        """Symbols of the words and the end, base log-probability of the frequent words, and the other words."""
+        at = np.array(list(map(self.place.get, words, repeat(-1))), dtype=np.int64)
+        codes = np.full(len(words) + 1, self.end, dtype=np.int64)
+        known = at >= 0
+        if known.all():
+            codes[:-1] = self.symbol_at[at] if len(at) else at
+            return codes, float(self.log_at[at].sum()) if len(at) else 0.0, Counter()
+        codes[:-1][known] = self.symbol_at[at[known]]
+        rest = [words[i] for i in np.flatnonzero(~known).tolist()]
+        codes[:-1][~known] = [self.classes[class_of(w)] for w in rest]
+        return codes, float(self.log_at[at[known]].sum()), Counter(rest)
 
 
 def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: int = 3900, train_docs: int = 1500, hidden: int = 24) -> DataFrame:
@@ -124,8 +137,11 @@ def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: in
     frequent = sorted(((bytes(r.token), r.c) for r in most_frequent(counts, frequent_words).collect()), key=lambda x: (-x[1], x[0]))
     symbols = Symbols(frequent, own_symbols, class_masses(counts, [w for w, _ in frequent[:own_symbols]]), n_docs, n_tokens, n_types)
     model = Gru(symbols.mass, hidden)
-    sample = training.select("text", F.xxhash64("key", "size").alias("turn")).orderBy("turn", "text").limit(train_docs).select("text").collect()
-    model.train([symbols.encode(tokens_of(r.text.encode())) for r in sample], symbols.end)
+    # The least hashes are found first, so that no task sends more texts than are used.
+    turned = training.select("text", F.xxhash64("key", "size").alias("turn"))
+    last = turned.select("turn").distinct().orderBy("turn").limit(train_docs).agg(F.max("turn")).first()[0]
+    sample = turned.where(F.col("turn") <= last).groupBy("turn").agg(F.first("text").alias("text")).orderBy("turn").collect() if last is not None else []
+    model.train([symbols.read(tokens_of(r.text.encode()))[0] for r in sample], symbols.end)
     shipped = spark.sparkContext.broadcast((symbols, model))
     names = ["doc_id", "held_out", "key", "size", "n_tokens", "known", "base", "gain", "token", "times"]
 
@@ -136,15 +152,12 @@ def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: in
             coded, n, known, base, gain, rare = [], [], [], [], [], []
             for i, text in enumerate(batch.column(4).cast(pa.binary()).to_pylist()):
                 words = tokens_of(text)
-                codes = symbols.encode(words)
-                logs = list(map(symbols.frequent.get, words))
-                missing = logs.count(None)
-                if missing:
-                    rare += [(i, w, c) for w, c in Counter(w for w, x in zip(words, logs) if x is None).items()]
+                codes, log, others = symbols.read(words)
+                rare += [(i, w, c) for w, c in others.items()]
                 coded.append(codes)
                 n.append(len(codes))
-                known.append(len(words) - missing + symbols.end_known)
-                base.append(sum(x for x in logs if x is not None) + symbols.end_base)
+                known.append(len(words) - others.total() + symbols.end_known)
+                base.append(log + symbols.end_base)
                 gain.append(-float(symbols.log_base[codes].sum()))
             scored = np.array(gain) + model.score(coded, symbols.end) / np.log(10) if len(coded) and symbols.end_known else np.zeros(len(coded))
             of = [i for i, _, _ in rare]
