@@ -362,7 +362,7 @@ def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band:
     # The runs of a segment join as one list, so that a piece stays one row however many there are.
     lists = found.groupBy("gram", "segment").agg(F.sort_array(F.collect_list(F.struct("first", "windows"))).alias("hits"))
     whole = shared.where("equal").select("key", "size", F.array(F.struct("first", "windows")).alias("runs"))
-    back = shared.where("NOT equal").select("key", "size", F.col("first").alias("base"), "gram", "segment").join(lists, ["gram", "segment"])
+    back = shared.where("NOT equal").select("key", "size", F.col("first").alias("base"), "gram", "segment").distinct().join(lists, ["gram", "segment"])  # copies of a text once
     moved = F.transform("hits", lambda x: F.struct((F.col("base") + x["first"]).alias("first"), x["windows"].alias("windows")))
     every = whole.union(back.select("key", "size", moved.alias("runs")))
     return every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs"))
