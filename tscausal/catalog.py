@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "crossmap_skill"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES, panels  # noqa: F401
+
+FLAGSHIP = "calendar_densify"
