@@ -65,7 +65,7 @@ def runs(texts: list[bytes], length: int) -> list[tuple[int, int, int, int, int]
     """(text, first window, windows, anchor's distance from the first, gram) for every run of windows with one anchor."""
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    if not len(data):
+    if len(data) < length:
         return []
     ends = np.repeat(np.cumsum(sizes), sizes)
     grams = gram_hashes(data)
@@ -256,7 +256,10 @@ def cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def _pieces(texts: DataFrame, length: int) -> DataFrame:
-    """(key, size, first, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes."""
+    """(key, size, firsts, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
+
+    Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
+    """
 
     def run(batches):
         for batch in batches:
@@ -269,12 +272,16 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
                     to += 1
                 found = runs(texts[at:to], length)
                 prints = [xxhash.xxh3_64_intdigest(texts[at + i][s : s + n - 1 + length], d) for i, s, n, d, _ in found]
-                of = np.array([x[0] for x in found], dtype=np.int64) + at
-                columns = [pa.array(keys[of]), pa.array(sizes[of]), *(pa.array([x[j] for x in found], pa.int32()) for j in (1, 2, 3)), pa.array([x[4] for x in found], pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "size", "first", "windows", "ahead", "gram", "segment"])
+                rows: dict[tuple, list[int]] = {}
+                for (i, first, n, d, gram), p in zip(found, prints):
+                    rows.setdefault((i, n, d, gram, p), []).append(first)
+                heads = list(rows)
+                of = np.array([x[0] for x in heads], dtype=np.int64) + at
+                columns = [pa.array(keys[of]), pa.array(sizes[of]), pa.array(list(rows.values()), pa.list_(pa.int32())), *(pa.array([x[j] for x in heads], pa.int32()) for j in (1, 2)), pa.array([x[3] for x in heads], pa.int64()), pa.array(np.array([x[4] for x in heads], dtype=np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "size", "firsts", "windows", "ahead", "gram", "segment"])
                 at = to
 
-    return texts.where(F.col("size") >= length).select("key", "size", "text").mapInArrow(run, "key long, size int, first int, windows int, ahead int, gram long, segment long")
+    return texts.where(F.col("size") >= length).select("key", "size", "text").mapInArrow(run, "key long, size int, firsts array<int>, windows int, ahead int, gram long, segment long")
 
 
 def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band: int) -> DataFrame:
@@ -351,19 +358,19 @@ def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band:
     if length < GRAM + band:
         raise ValueError(f"length must be at least {GRAM + band}")
     pieces = durable(_pieces(texts, length))
-    grams = pieces.groupBy("gram").agg(F.count("*").alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
+    grams = pieces.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
     shared = durable(pieces.join(durable(grams.select("gram", "equal")), "gram"))
-    differing = shared.where("NOT equal").groupBy("gram", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("key", "size", "first", "windows", "ahead")).alias("at"))
+    differing = shared.where("NOT equal").groupBy("gram", "segment").agg(F.sum(F.size("firsts")).alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead")).alias("at"))
     kinds = differing.groupBy("gram").agg(F.count("*").alias("different"))
     part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
     wanted = differing.join(kinds, "gram").groupBy("at.key", "at.size").agg(F.collect_list(part).alias("parts"))
     found = durable(_sorted_out(_segments(texts, wanted, length, many, band), length))
     # The runs of a segment join as one list, so that a piece stays one row however many there are.
     lists = found.groupBy("gram", "segment").agg(F.sort_array(F.collect_list(F.struct("first", "windows"))).alias("hits"))
-    whole = shared.where("equal").select("key", "size", F.array(F.struct("first", "windows")).alias("runs"))
-    back = shared.where("NOT equal").select("key", "size", F.col("first").alias("base"), "gram", "segment").distinct().join(lists, ["gram", "segment"])  # copies of a text once
-    moved = F.transform("hits", lambda x: F.struct((F.col("base") + x["first"]).alias("first"), x["windows"].alias("windows")))
+    whole = shared.where("equal").select("key", "size", F.transform("firsts", lambda f: F.struct(f.alias("first"), F.col("windows"))).alias("runs"))
+    back = shared.where("NOT equal").select("key", "size", "firsts", "gram", "segment").distinct().join(lists, ["gram", "segment"])  # copies of a text once
+    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct((f + x["first"]).alias("first"), x["windows"].alias("windows")))))
     every = whole.union(back.select("key", "size", moved.alias("runs")))
     return every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
