@@ -147,26 +147,27 @@ def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: in
 
     def run(batches):
         symbols, model = shipped.value
-        for batch in batches:
+        for batch in (b.slice(at, 5000) for b in batches for at in range(0, b.num_rows, 5000)):
             keys, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            coded, n, known, base, gain, rare = [], [], [], [], [], []
+            coded, n, known, base, gain, of, rare, times = ([] for _ in range(8))
             for i, text in enumerate(batch.column(4).cast(pa.binary()).to_pylist()):
                 words = tokens_of(text)
                 codes, log, others = symbols.read(words)
-                rare += [(i, w, c) for w, c in others.items()]
+                of += [i] * len(others)
+                rare += others.keys()
+                times += others.values()
                 coded.append(codes)
                 n.append(len(codes))
                 known.append(len(words) - others.total() + symbols.end_known)
                 base.append(log + symbols.end_base)
                 gain.append(-float(symbols.log_base[codes].sum()))
             scored = np.array(gain) + model.score(coded, symbols.end) / np.log(10) if len(coded) and symbols.end_known else np.zeros(len(coded))
-            of = [i for i, _, _ in rare]
             none, gap = [None] * len(of), [None] * len(n)
             columns = [
                 pa.array(batch.column(0).to_pylist() + none, pa.int64()), pa.array(batch.column(1).to_pylist() + none, pa.bool_()),
                 pa.array(keys + [keys[i] for i in of], pa.int64()), pa.array(sizes + [sizes[i] for i in of], pa.int32()),
                 pa.array(n + none, pa.int64()), pa.array(known + none, pa.int64()), pa.array(base + none, pa.float64()), pa.array(scored.tolist() + none, pa.float64()),
-                pa.array(gap + [w for _, w, _ in rare], pa.binary()), pa.array(gap + [c for _, _, c in rare], pa.int64()),
+                pa.array(gap + rare, pa.binary()), pa.array(gap + times, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
