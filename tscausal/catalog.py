@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE_SQL, QUERIES, panels  # noqa: F401
+from .queries import ORACLE_SQL, QUERIES, edges, edm, forecasts, panels  # noqa: F401
 
-FLAGSHIP = "calendar_densify"
+FLAGSHIP = "crossmap_skill"

@@ -83,3 +83,32 @@ def choose_size(skill: DataFrame, by: list[str]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("rho"), "size"))
     best = skill.withColumn("_k", rank).where("_k = 1")
     return best.select(*by, F.when(F.col("rho").isNull(), 2).otherwise(F.col("size")).alias("size"))
+
+
+def convergence(points: DataFrame, keys: list[str], pos: str, size: int, libraries: list[int], samples: int = 5) -> DataFrame:
+    """(keys, library, n, rho): mean skill when neighbours come from random libraries of a given size.
+
+    A library is the points of least md5(sample, pos), so it is random but the same everywhere; ``points`` as in ``embed``.
+    """
+    each = points.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    rank = F.row_number().over(Window.partitionBy(*keys, "sample").orderBy(F.md5(F.concat_ws("|", "sample", F.col(pos).cast("string"))), pos))
+    theirs = each.withColumn("_r", rank).select(*keys, "sample", F.col(pos).alias("_q"), F.col("y").alias("near_y"), "_r", *(F.col(f"v{k + 1}").alias(f"u{k + 1}") for k in range(size)))
+    theirs = theirs.withColumn("library", F.explode(F.array(*map(F.lit, libraries)))).where(F.col("_r") <= F.col("library")).drop("_r")
+    square: F.Column = F.lit(0.0)
+    for k in range(size):
+        square = square + (F.col(f"v{k + 1}") - F.col(f"u{k + 1}")) * (F.col(f"v{k + 1}") - F.col(f"u{k + 1}"))
+    groups = [*keys, "library", "sample"]
+    pairs = each.join(theirs, [*keys, "sample"]).where(F.col(pos) != F.col("_q")).withColumn("d", F.sqrt(square))
+    order = F.row_number().over(Window.partitionBy(*groups, pos).orderBy("d", "_q"))
+    near = pairs.withColumn("_k", order).where(F.col("_k") <= size + 1).select(*groups, pos, "y", "d", "near_y")
+    skill = projected(near, groups, pos).groupBy(*groups).agg(F.corr("y", "predicted").alias("rho"))
+    return skill.groupBy(*keys, "library").agg(F.count("rho").alias("n"), F.avg("rho").alias("rho"))
+
+
+def shifted_nulls(df: DataFrame, by: list[str], pos: str, x: str, y: str, shifts: list[int]) -> DataFrame:
+    """(by, shift, rho): correlation with y moved around the calendar by each shift; shift 0 is the observed one."""
+    n = F.count("*").over(Window.partitionBy(*by))
+    left = df.select(*by, F.col(pos).alias("_p"), F.col(x).alias("_x"), n.alias("_n")).withColumn("shift", F.explode(F.array(*map(F.lit, shifts))))
+    left = left.withColumn("_at", F.pmod(F.col("_p") + F.col("shift"), F.col("_n")))
+    right = df.select(*by, F.col(pos).alias("_at"), F.col(y).alias("_y"))
+    return left.join(right, [*by, "_at"]).groupBy(*by, "shift").agg(F.corr("_x", "_y").alias("rho"))

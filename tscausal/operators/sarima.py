@@ -110,10 +110,9 @@ class Fit:
         if np.isnan(y).any():
             raise ValueError("an update holds a missing value")
         self.y = np.concatenate([self.y, y])
-        if self.x.shape[1]:
-            self.x = np.vstack([self.x, self._design(len(y), x, len(self.y) - len(y))])
+        self.x = np.vstack([self.x, self._design(len(y), x)])
 
-    def _design(self, steps: int, x: np.ndarray | None, _: int) -> np.ndarray:
+    def _design(self, steps: int, x: np.ndarray | None) -> np.ndarray:
         constant = np.ones((steps, int(self.order[1] == 0)))
         return np.hstack([constant, x if x is not None else np.empty((steps, 0))])
 
@@ -131,7 +130,7 @@ class Fit:
         pulse = np.zeros(steps)
         pulse[:1] = 1
         psi = _invert(full, _apply(self.ma, pulse))
-        return np.array(past[-steps:]) + self._design(steps, x, 0) @ self.beta, np.sqrt(self.sigma2 * np.cumsum(psi**2))
+        return np.array(past[-steps:]) + self._design(steps, x) @ self.beta, np.sqrt(self.sigma2 * np.cumsum(psi**2))
 
 
 def fit(y: np.ndarray, x: np.ndarray | None, order: tuple[int, int, int], seasonal: tuple[int, int, int], season: int) -> Fit:
