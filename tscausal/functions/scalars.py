@@ -77,6 +77,13 @@ def fingerprint(config: Column) -> Column:
     return F.substring(F.sha2(F.to_json(config), 256), 1, 16)
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Aggregate: Pearson correlation of the pairs that are known, null if either side does not vary (corr would fail)."""
+    x, y = col(x), col(y)
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)), F.lit(0.0))
+
+
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution by Abramowitz and Stegun 7.1.26 (error below 1.5e-7)."""
     x = F.abs(z) / (2**0.5)

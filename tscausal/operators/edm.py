@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
+
 
 def embed(df: DataFrame, by: list[str], pos: str, effect: str, cause: str, lags: list[int], size: int, tau: int = 1) -> DataFrame:
     """(by, lag, pos, y, v1..vE): y is the cause at pos, v the effect at pos + lag, pos + lag - tau, …
@@ -52,7 +54,7 @@ def cross_map(df: DataFrame, by: list[str], pos: str, cause: str, effect: str, l
     least = max(20, size + 5) if least is None else least
     keys = [*by, "lag"]
     points = embed(df, by, pos, effect, cause, lags, size, tau)
-    skill = projected(neighbours(points, keys, pos, size), keys, pos).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("y", "predicted").alias("rho"))
+    skill = projected(neighbours(points, keys, pos, size), keys, pos).groupBy(*keys).agg(F.count("*").alias("n"), correlation("y", "predicted").alias("rho"))
     return skill.where(F.col("n") >= least)
 
 
@@ -73,7 +75,7 @@ def simplex_skill(df: DataFrame, by: list[str], pos: str, value: str, sizes: lis
         vector = {f"v{k + 1}": (F.lag(value, k * tau).over(w) if k else F.col(value)) for k in range(size)}
         points = df.select(*by, pos, F.lead(value, ahead).over(w).alias("y"), *(c.alias(n) for n, c in vector.items())).dropna().withColumn("size", F.lit(size))
         keys = [*by, "size"]
-        skill = projected(neighbours(points, keys, pos, size, max(tau, 1)), keys, pos).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("y", "predicted").alias("rho")).where("n >= 2").drop("n")
+        skill = projected(neighbours(points, keys, pos, size, max(tau, 1)), keys, pos).groupBy(*keys).agg(F.count("*").alias("n"), correlation("y", "predicted").alias("rho")).where("n >= 2").drop("n")
         out = skill if out is None else out.union(skill)
     return out
 
@@ -101,7 +103,7 @@ def convergence(points: DataFrame, keys: list[str], pos: str, size: int, librari
     pairs = each.join(theirs, [*keys, "sample"]).where(F.col(pos) != F.col("_q")).withColumn("d", F.sqrt(square))
     order = F.row_number().over(Window.partitionBy(*groups, pos).orderBy("d", "_q"))
     near = pairs.withColumn("_k", order).where(F.col("_k") <= size + 1).select(*groups, pos, "y", "d", "near_y")
-    skill = projected(near, groups, pos).groupBy(*groups).agg(F.corr("y", "predicted").alias("rho"))
+    skill = projected(near, groups, pos).groupBy(*groups).agg(correlation("y", "predicted").alias("rho"))
     return skill.groupBy(*keys, "library").agg(F.count("rho").alias("n"), F.avg("rho").alias("rho"))
 
 
@@ -111,4 +113,4 @@ def shifted_nulls(df: DataFrame, by: list[str], pos: str, x: str, y: str, shifts
     left = df.select(*by, F.col(pos).alias("_p"), F.col(x).alias("_x"), n.alias("_n")).withColumn("shift", F.explode(F.array(*map(F.lit, shifts))))
     left = left.withColumn("_at", F.pmod(F.col("_p") + F.col("shift"), F.col("_n")))
     right = df.select(*by, F.col(pos).alias("_at"), F.col(y).alias("_y"))
-    return left.join(right, [*by, "_at"]).groupBy(*by, "shift").agg(F.corr("_x", "_y").alias("rho"))
+    return left.join(right, [*by, "_at"]).groupBy(*by, "shift").agg(correlation("_x", "_y").alias("rho"))

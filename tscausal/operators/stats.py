@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normal_cdf, temporal_class
+from ..functions.scalars import correlation, normal_cdf, temporal_class
 
 
 def benjamini_hochberg(df: DataFrame, p: str, valid: Column | None = None, family: list[str] | None = None, name: str = "p_fdr") -> DataFrame:
@@ -163,7 +163,7 @@ def pearson_by_lag(df: DataFrame, by: list[str], pos: str, drivers: list[str], l
     w = Window.partitionBy(*by).orderBy(pos)
     shifted = df.select(*by, level, *(F.lag(d, k).over(w).alias(f"{d}__{k}") for d in drivers for k in lags))
     both = lambda c: F.count(F.when(F.col(level).isNotNull() & F.col(c).isNotNull(), 1))
-    wide = shifted.groupBy(*by).agg(*(f.alias(f"{k}_{d}__{lag}") for d in drivers for lag in lags for k, f in (("r", F.corr(f"{d}__{lag}", level)), ("n", both(f"{d}__{lag}")))))
+    wide = shifted.groupBy(*by).agg(*(f.alias(f"{k}_{d}__{lag}") for d in drivers for lag in lags for k, f in (("r", correlation(f"{d}__{lag}", level)), ("n", both(f"{d}__{lag}")))))
     rows = F.array(*(F.struct(F.lit(d).alias("variable"), F.lit(k).alias("lag"), F.col(f"r_{d}__{k}").alias("r"), F.col(f"n_{d}__{k}").alias("n")) for d in drivers for k in lags))
     long = wide.select(*by, F.explode(rows).alias("x")).select(*by, "x.*").where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     rank = F.row_number().over(Window.partitionBy(*by, "variable").orderBy(F.desc(F.abs("r")), "lag"))

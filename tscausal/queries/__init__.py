@@ -31,3 +31,8 @@ def rounded(x: str | Column) -> Column:
 def r6(x: str) -> str:
     """The same in SQL."""
     return f"(round({x} + {NUDGE}, 6) + 0.0)"
+
+
+def corr(x: str, y: str) -> str:
+    """SQL: correlation, null if either side does not vary."""
+    return f"CASE WHEN var_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) > 0 AND var_pop(CASE WHEN {x} IS NOT NULL THEN {y} END) > 0 THEN corr({x}, {y}) END"

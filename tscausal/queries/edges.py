@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_km, name_tokens, pair_seed
+from ..functions.scalars import correlation, haversine_km, name_tokens, pair_seed
 from ..operators import graph, report, screening, selection, stats
 from ..sources import panels as P
 from ..sources.files import last_by, remaining
-from . import query, r6, rounded
+from . import corr, query, r6, rounded
 
 E = ["entity"]
 LAGS = list(range(-3, 4))
@@ -47,13 +47,13 @@ def within(spark, d):
     cause = long.select("entity", F.col("v").alias("cause"), "x", F.explode(F.array(*map(F.lit, LAGS))).alias("obs_lag"), "pos").withColumn("pos", F.col("pos") + F.col("obs_lag"))
     effect = long.select("entity", F.col("v").alias("effect"), F.col("x").alias("y"), "pos")
     rows = cause.join(effect, ["entity", "pos"]).where("cause <> effect").groupBy("entity", "cause", "effect", "obs_lag")
-    rows = rows.agg(F.corr("x", "y").alias("obs_rho"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("obs_n"))
+    rows = rows.agg(correlation("x", "y").alias("obs_rho"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("obs_n"))
     return _with_p(_strongest(rows, ["entity", "cause", "effect"]), F.concat_ws("|", "entity", "cause", "effect"))
 
 
 WITHIN_SQL = P.HOURLY_SQL + f""", long AS (SELECT entity, pos, unnest({VARIABLES}) AS v, unnest([{', '.join(VARIABLES)}]) AS x FROM hourly),
 within_lagged AS (
-  SELECT a.entity, a.v AS cause, b.v AS effect, l.lag::INTEGER AS obs_lag, corr(a.x, b.x) AS obs_rho, count(CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN 1 END) AS obs_n
+  SELECT a.entity, a.v AS cause, b.v AS effect, l.lag::INTEGER AS obs_lag, {corr("a.x", "b.x")} AS obs_rho, count(CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN 1 END) AS obs_n
   FROM long a CROSS JOIN (SELECT unnest({LAGS}) AS lag) l JOIN long b ON b.entity = a.entity AND b.pos = a.pos + l.lag AND b.v <> a.v GROUP BY ALL
 ), within_edges AS (
   SELECT *, {_p_sql("entity || '|' || cause || '|' || effect")}
@@ -82,7 +82,7 @@ def between(spark, d):
     rows = P.monthly_positions(spark, d, "n_name").select("entity", "month", F.col("level").alias("x"))
     cause = rows.select(F.col("entity").alias("cause"), "x", F.explode(F.array(*map(F.lit, LAGS))).alias("obs_lag"), "month").withColumn("month", F.expr("add_months(month, obs_lag)"))
     effect = rows.select(F.col("entity").alias("effect"), F.col("x").alias("y"), "month")
-    agg = cause.join(effect, "month").where("cause <> effect").groupBy("cause", "effect", "obs_lag").agg(F.corr("x", "y").alias("obs_rho"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("obs_n"))
+    agg = cause.join(effect, "month").where("cause <> effect").groupBy("cause", "effect", "obs_lag").agg(correlation("x", "y").alias("obs_rho"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("obs_n"))
     edges = _with_p(_strongest(agg, ["cause", "effect"]), F.concat_ws("|", "cause", "effect"))
     key = F.concat_ws("|", F.least("cause", "effect"), F.greatest("cause", "effect"))
     joined = connected(spark, d).select(F.concat_ws("|", F.least("a", "b"), F.greatest("a", "b")).alias("k"), F.lit(True).alias("connected"))
@@ -98,7 +98,7 @@ def connected(spark, d):
 
 CONNECTED_SQL = "connected AS (SELECT * FROM (SELECT n_name AS a, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation) WHERE b IS NOT NULL)"
 BETWEEN_SQL = P.monthly_positions_sql("n_name") + f""", {CONNECTED_SQL}, between_lagged AS (
-  SELECT a.entity AS cause, b.entity AS effect, l.lag::INTEGER AS obs_lag, corr(a.level, b.level) AS obs_rho, count(CASE WHEN a.level IS NOT NULL AND b.level IS NOT NULL THEN 1 END) AS obs_n
+  SELECT a.entity AS cause, b.entity AS effect, l.lag::INTEGER AS obs_lag, {corr("a.level", "b.level")} AS obs_rho, count(CASE WHEN a.level IS NOT NULL AND b.level IS NOT NULL THEN 1 END) AS obs_n
   FROM panel a CROSS JOIN (SELECT unnest({LAGS}) AS lag) l JOIN panel b ON b.month = (a.month + to_months(l.lag::INTEGER))::DATE AND b.entity <> a.entity GROUP BY ALL
 ), between_edges AS (
   SELECT e.*, c.a IS NOT NULL AS connected FROM (
@@ -183,7 +183,7 @@ def forecast_lags(spark, d):
     found = []
     for v in VARIABLES[1:]:
         w = Window.partitionBy("entity").orderBy("pos")
-        wide = panel.select("entity", "level", *(F.lag(v, k).over(w).alias(f"l{k}") for k in (1, 2, 3))).groupBy("entity").agg(*(F.corr(f"l{k}", "level").alias(f"r{k}") for k in (1, 2, 3)))
+        wide = panel.select("entity", "level", *(F.lag(v, k).over(w).alias(f"l{k}") for k in (1, 2, 3))).groupBy("entity").agg(*(correlation(f"l{k}", "level").alias(f"r{k}") for k in (1, 2, 3)))
         found.append(wide.select("entity", F.lit(v).alias("variable"), F.explode(F.array(*(F.struct(F.lit(k).alias("obs_lag"), F.col(f"r{k}").alias("obs_rho")) for k in (1, 2, 3)))).alias("s")).select("entity", "variable", "s.*"))
     rows = found[0]
     for more in found[1:]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, crossmap, edm, stats
 from ..params import DEFAULT
 from ..sources import panels as P
-from . import query, r6, rounded
+from . import corr, query, r6, rounded
 
 E = ["entity"]
 LAGS = list(range(-12, 13))
@@ -33,7 +33,7 @@ pairs AS (SELECT {names}, a.pos, a.y, b.y AS ny, b.pos AS q, sqrt(0.0 + {d}) AS
 near AS (SELECT *, min(d) OVER (PARTITION BY {keys}, pos) AS dm FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY {keys}, pos ORDER BY d, q) <= {size + 1})),
 w AS (SELECT *, CASE WHEN dm = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 1e-6 END ELSE greatest(exp(-d / dm), 1e-6) END AS w FROM near),
 pred AS (SELECT {keys}, pos, any_value(y) AS y, sum(w * ny) / sum(w) AS p FROM w GROUP BY {keys}, pos),
-skill AS (SELECT {keys}, count(*) AS n, corr(y, p) AS rho FROM pred GROUP BY {keys})"""
+skill AS (SELECT {keys}, count(*) AS n, {corr("y", "p")} AS rho FROM pred GROUP BY {keys})"""
 
 
 @query(f"WITH {P.HOURLY_SQL}, {_points_sql('hourly', 'p', 'level', [1], 3)} SELECT entity, lag, pos, {', '.join(f'{r6(c)} AS {c}' for c in ('y', 'v1', 'v2', 'v3'))} FROM points")
@@ -44,7 +44,7 @@ def effect_embedding(spark, d):
 
 @query(f"WITH {P.HOURLY_SQL}, {_points_sql('hourly', 'p', 'level', [1], 3)}, {_skill_sql(3)} SELECT entity, lag, n, {r6('rho')} AS rho FROM skill")
 def crossmap_skill(spark, d):
-    return edm.cross_map(P.hourly(spark, d), E, "pos", "p", "level", [1], 3).select("entity", "lag", "n", rounded("rho").alias("rho"))
+    return edm.cross_map(P.hourly(spark, d), E, "pos", "p", "level", [1], 3, least=0).select("entity", "lag", "n", rounded("rho").alias("rho"))
 
 
 def _profile(spark, d, lags=LAGS, least=None):
@@ -114,7 +114,7 @@ pairs AS (SELECT a.entity, l.library, a.sample, a.pos, a.y, b.y AS ny, b.pos AS
   FROM each a JOIN each b ON a.entity = b.entity AND a.sample = b.sample AND a.pos <> b.pos JOIN (SELECT unnest([15, 30, 45, 60]) AS library) l ON b.r <= l.library),
 near AS (SELECT *, min(d) OVER (PARTITION BY entity, library, sample, pos) AS dm FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY entity, library, sample, pos ORDER BY d, q) <= 3)),
 pred AS (SELECT entity, library, sample, pos, any_value(y) AS y, sum(greatest(exp(-d / dm), 1e-6) * ny) / sum(greatest(exp(-d / dm), 1e-6)) AS p FROM near GROUP BY ALL),
-s AS (SELECT entity, library, sample, corr(y, p) AS rho FROM pred GROUP BY ALL)
+s AS (SELECT entity, library, sample, {corr("y", "p")} AS rho FROM pred GROUP BY ALL)
 SELECT entity, library, count(rho) AS n, {r6('avg(rho)')} AS rho FROM s GROUP BY ALL""")
 def convergence_curve(spark, d):
     points = edm.embed(P.monthly_positions(spark, d), E, "pos", "level", "qty", [1], 2)
@@ -123,7 +123,7 @@ def convergence_curve(spark, d):
 
 SHIFTS = [0, *range(10, 701, 10)]
 NULLS_SQL = f"""{P.HOURLY_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM hourly),
-nulls AS (SELECT a.entity, s.shift, corr(a.p, b.level) AS rho FROM n a CROSS JOIN (SELECT unnest({SHIFTS}) AS shift) s JOIN n b ON b.entity = a.entity AND b.pos = (a.pos + s.shift) % a.n GROUP BY ALL)"""
+nulls AS (SELECT a.entity, s.shift, {corr("a.p", "b.level")} AS rho FROM n a CROSS JOIN (SELECT unnest({SHIFTS}) AS shift) s JOIN n b ON b.entity = a.entity AND b.pos = (a.pos + s.shift) % a.n GROUP BY ALL)"""
 
 
 @query(f"""WITH {NULLS_SQL}, o AS (SELECT entity, rho AS observed FROM nulls WHERE shift = 0)

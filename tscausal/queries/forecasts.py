@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, forecast, report, selection, stats
 from ..params import DEFAULT
 from ..sources import panels as P
-from . import query, r6, rounded
+from . import corr, query, r6, rounded
 
 E = ["entity"]
 PARAMS = replace(DEFAULT, horizon=24)
@@ -169,7 +169,7 @@ def lag_sets(spark, d, by="r_name"):
 
 
 PEARSON_SQL = P.monthly_positions_sql("n_name") + f""", train AS (SELECT * FROM panel WHERE is_train), long AS (SELECT entity, pos, unnest({P.MONTHLY[1:]}) AS variable, unnest([{', '.join(P.MONTHLY[1:])}]) AS x FROM train),
-c AS (SELECT l.entity, variable, k.lag::INTEGER AS lag, corr(x, level) AS r, count(CASE WHEN x IS NOT NULL AND level IS NOT NULL THEN 1 END) AS n FROM long l CROSS JOIN (SELECT unnest(range(1, 13)) AS lag) k JOIN train t ON t.entity = l.entity AND t.pos = l.pos + k.lag GROUP BY ALL),
+c AS (SELECT l.entity, variable, k.lag::INTEGER AS lag, {corr("x", "level")} AS r, count(CASE WHEN x IS NOT NULL AND level IS NOT NULL THEN 1 END) AS n FROM long l CROSS JOIN (SELECT unnest(range(1, 13)) AS lag) k JOIN train t ON t.entity = l.entity AND t.pos = l.pos + k.lag GROUP BY ALL),
 lags AS (SELECT entity, variable, lag, r FROM c WHERE n >= 20 AND r IS NOT NULL AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY entity, variable ORDER BY abs(r) DESC, lag) = 1)"""
 
 
@@ -218,8 +218,7 @@ def _anomalies(spark, d):
 
 @query()
 def tree_grid_cv(spark, d):
-    rows = P.hourly(spark, d).withColumn("season", F.col("pos") % 24)
-    return forecast.tune_trees(clean.deseasonalise(rows, E, "season", "level", None), E, "pos", "level", QUICK)
+    return forecast.tune_trees(_anomalies(spark, d), E, "pos", "level", replace(QUICK, horizon=6))
 
 
 def _fitted(spark, d, family, horizon):
