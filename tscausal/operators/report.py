@@ -136,7 +136,7 @@ def embedding_changes(sizes: DataFrame) -> DataFrame:
 
 def edges_with_embedding(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Edges with the dimension and delay of their effect."""
-    return edges.join(F.broadcast(sizes.select("entity", F.col("variable").alias("effect"), "size", "tau")), ["entity", "effect"], "left")
+    return edges.join(sizes.select("entity", F.col("variable").alias("effect"), "size", "tau"), ["entity", "effect"], "left")
 
 
 def dataset_layers(raw: DataFrame, anomaly: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def within_pairs(panel: DataFrame, sizes: DataFrame) -> DataFrame:
     train = panel.where("is_train")
     cause = train.select("entity", "pos", F.col("variable").alias("cause"), F.col("anomaly").alias("x"))
     effect = train.select("entity", "pos", F.col("variable").alias("effect"), F.col("anomaly").alias("y"))
-    dims = F.broadcast(sizes.select("entity", F.col("variable").alias("effect"), "size", "tau"))  # one row per series, far fewer than its steps
+    dims = sizes.select("entity", F.col("variable").alias("effect"), "size", "tau")
     return cause.join(effect, ["entity", "pos"]).where("cause <> effect").join(dims, ["entity", "effect"])
 
 
@@ -60,7 +60,7 @@ def between_pairs(panel: DataFrame, sizes: DataFrame, params: Params = DEFAULT,
     b = pairs.join(level.withColumnRenamed("entity", "effect"), "effect")
     both = calendar.union_panel(a, b, "month", "1 month", ["cause", "effect"])
     rows = calendar.train_flag(calendar.positions(both, ["cause", "effect"], "month"), ["cause", "effect"], params.horizon).where("is_train")
-    dims = F.broadcast(sizes.where("variable = 'level'").select(F.col("entity").alias("effect"), "size", "tau"))
+    dims = sizes.where("variable = 'level'").select(F.col("entity").alias("effect"), "size", "tau")
     return rows.select("cause", "effect", "pos", F.col("value_a").alias("x"), F.col("value_b").alias("y")).join(dims, "effect").withColumn("scope", F.lit("between"))
 
 

@@ -26,7 +26,7 @@ def lag_scans(panel: DataFrame, variables: list[str], sizes: DataFrame, params:
     for lags in (list(params.forecast_lags), list(params.lags)):
         found = None
         for size in params.dimensions:
-            mine = rows.join(F.broadcast(dims.where(F.col("size") == size).select("entity")), "entity", "left_semi")
+            mine = rows.join(dims.where(F.col("size") == size).select("entity"), "entity", "left_semi")
             for v in variables:
                 best = edm.best_lag(edm.cross_map(mine, ["entity"], "pos", v, "level", lags, size, params.tau, least=0), ["entity"], 1)
                 part = best.select("entity", F.lit(v).alias("variable"), F.col("lag").cast("int").alias("lag"))

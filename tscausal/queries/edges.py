@@ -86,7 +86,7 @@ def between(spark, d):
     edges = _with_p(_strongest(agg, ["cause", "effect"]), F.concat_ws("|", "cause", "effect"))
     key = F.concat_ws("|", F.least("cause", "effect"), F.greatest("cause", "effect"))
     joined = connected(spark, d).select(F.concat_ws("|", F.least("a", "b"), F.greatest("a", "b")).alias("k"), F.lit(True).alias("connected"))
-    return edges.withColumn("k", key).join(F.broadcast(joined), "k", "left").withColumn("connected", F.coalesce("connected", F.lit(False))).drop("k")
+    return edges.withColumn("k", key).join(joined, "k", "left").withColumn("connected", F.coalesce("connected", F.lit(False))).drop("k")
 
 
 def connected(spark, d):

@@ -161,7 +161,7 @@ def edge_pairs(panel, variables, sizes):
     long = panel.select("entity", "pos", F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in variables))).alias("v")).select("entity", "pos", "v.*")
     cause = long.select("entity", "pos", F.col("variable").alias("cause"), F.col("value").alias("x"))
     effect = long.select("entity", "pos", F.col("variable").alias("effect"), F.col("value").alias("y"))
-    return cause.join(effect, ["entity", "pos"]).where("cause <> effect").join(F.broadcast(sizes), ["entity", "effect"]).withColumn("tau", F.lit(1))
+    return cause.join(effect, ["entity", "pos"]).where("cause <> effect").join(sizes, ["entity", "effect"]).withColumn("tau", F.lit(1))
 
 
 @query()

@@ -45,7 +45,9 @@ def union_stations(frames: list[DataFrame], calendar: DataFrame) -> DataFrame:
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame)
-    return calendar.crossJoin(F.broadcast(rows.select("station").distinct())).join(rows, ["station", "month"], "left")
+    months = calendar.select("month").distinct().agg(F.collect_list("month").alias("m"))  # some hundred months
+    every = rows.select("station").distinct().join(months).select("station", F.explode("m").alias("month"))
+    return every.join(rows, ["station", "month"], "left")
 
 
 def write_shards(df: DataFrame, path: str, keys: list[str]) -> None:
