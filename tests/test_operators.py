@@ -289,3 +289,10 @@ def test_regulation_history(spark):
     rows = spark.createDataFrame([("s", 1950, 1960, 0), ("s", 1961, 1990, 1), ("t", 1950, None, 0)], "station string, year_from int, year_to int, regulated int")
     got = {r.station: (r.regulated, len(r.periods)) for r in screening.regulated_stations(rows).collect()}
     assert got == {"s": (1, 2), "t": (0, 1)}
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("a", 1.23456), ("b", None)], "k string, v double")
+    assert report.markdown(df.orderBy("k"), {"v": 2}) == "| k | v |\n| --- | --- |\n| a | 1.23 |\n| b |  |"
+    with pytest.raises(ValueError):
+        report.markdown(spark.range(20), limit=10)

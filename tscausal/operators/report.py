@@ -147,3 +147,30 @@ def dataset_layers(raw: DataFrame, anomaly: DataFrame) -> DataFrame:
 def completeness(rows: DataFrame) -> DataFrame:
     """(layer, variable, percent) of values that are present."""
     return rows.groupBy("layer", "variable").agg((100 * F.avg(F.col("value").isNotNull().cast("double"))).alias("percent"))
+
+
+def centred(panel: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The value less its mean over the entity."""
+    return panel.withColumn("centred", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
+
+
+def labelled(df: DataFrame, column: str, labels: dict[str, str], name: str = "label") -> DataFrame:
+    """Display labels, and their order as a sort key; values without a label keep their own and come last."""
+    pairs = [F.lit(x) for k, v in labels.items() for x in (k, v)]
+    ranks = [x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(i))]
+    return df.withColumn(name, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.col(column))).withColumn(f"{name}_rank", F.coalesce(F.try_element_at(F.create_map(*ranks), F.col(column)), F.lit(len(labels))))
+
+
+def markdown(df: DataFrame, digits: dict[str, int] | None = None, limit: int = 1000) -> str:
+    """A small result as a Markdown table, with decimals per column; more than ``limit`` rows are refused."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a table for reading has at most {limit} rows")
+
+    def cell(name, v):
+        if v is None:
+            return ""
+        return f"{v:.{digits[name]}f}" if digits and name in digits else str(v)
+
+    lines = [df.columns, ["---"] * len(df.columns), *([cell(c, r[c]) for c in df.columns] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)

@@ -168,3 +168,29 @@ def pearson_by_lag(df: DataFrame, by: list[str], pos: str, drivers: list[str], l
     long = wide.select(*by, F.explode(rows).alias("x")).select(*by, "x.*").where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     rank = F.row_number().over(Window.partitionBy(*by, "variable").orderBy(F.desc(F.abs("r")), "lag"))
     return long.withColumn("_k", rank).where("_k = 1").select(*by, "variable", "lag", "r")
+
+
+def kendall_test(df: DataFrame, by: list[str], order: str, x: str, y: str) -> DataFrame:
+    """(by, n, tau, p) of short series: tau-b and its exact two-sided p (normal with ties)."""
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema) + ", n long, tau double, p double"
+
+    def run(frame):
+        import pandas as pd
+
+        rows = frame.dropna(subset=[x, y]).sort_values(order)
+        tau, p = kendall(rows[x].tolist(), rows[y].tolist())
+        return pd.DataFrame([{**{b: frame[b].iloc[0] for b in by}, "n": len(rows), "tau": tau, "p": p}])
+
+    return df.select(*by, order, x, y).groupBy(*by).applyInPandas(run, shape)
+
+
+def mann_whitney_test(df: DataFrame, by: list[str], value: str, group: str) -> DataFrame:
+    """``mann_whitney`` with its two-sided p: only the sums of a comparison reach Python."""
+    sums = mann_whitney(df, by, value, group)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema) + ", p double"
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(p=[mann_whitney_p(int(m), int(n), float(u), float(t)) for m, n, u, t in zip(frame["n1"], frame["n0"], frame["u"], frame["ties"])])
+
+    return sums.mapInPandas(run, shape)

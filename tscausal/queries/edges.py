@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import correlation, haversine_km, name_tokens, pair_seed
+from ..functions.scalars import correlation, fingerprint, haversine_km, name_tokens, pair_seed
 from ..operators import graph, report, screening, selection, stats
+from ..sources import grid
 from ..sources import panels as P
 from ..sources.files import last_by, remaining
 from . import corr, query, r6, rounded
@@ -386,3 +387,91 @@ QUALIFY row_number() OVER (PARTITION BY point ORDER BY (dist = 0) DESC, CASE WHE
 def containing_area(spark, d):
     boxes = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("area"), *((F.col("n_nationkey") * 0.35 + x).alias(n) for n, x in (("south", 40), ("north", 40.9), ("west", -100), ("east", -98.7))), (F.col("n_nationkey") * 7 % 25).cast("double").alias("size"))
     return screening.holding_area(gauges(spark, d)[1].select(F.col("id").alias("point"), "lat", "lon"), boxes)
+
+
+# --- the rest of the inventory ---------------------------------------------------------------------------------------
+
+
+@query()
+def kendall_p(spark, d):
+    """Exact p-values of Kendall's tau."""
+    return stats.kendall_test(P.monthly_positions(spark, d, "n_name").where("NOT is_train"), E, "pos", "level", "qty")
+
+
+@query()
+def mann_whitney_p(spark, d):
+    return stats.mann_whitney_test(report.connected_contrast(between(spark, d).withColumn("causal_evidence", F.lit(False)), True), ["unit"], "value", "connected")
+
+
+@query(f"WITH {WITHIN_SQL} SELECT cause, effect, max_by(entity, entity) AS entity, {r6('max_by(obs_rho, entity)')} AS obs_rho FROM within_edges GROUP BY cause, effect")
+def build_digraph(spark, d):
+    """One edge per pair, the last entity's."""
+    rows = graph.last_edges(within(spark, d).select("cause", "effect", "entity", "obs_rho"), [], "entity")
+    return rows.select("cause", "effect", "entity", rounded("obs_rho").alias("obs_rho"))
+
+
+@query(f"WITH {BETWEEN_EVIDENCE_SQL}, {TIER_SQL[len(CONNECTED_SQL) + 2:]} SELECT cause, effect, obs_lag, {r6('obs_rho')} AS obs_rho, statistically_significant, tier FROM evidence JOIN p ON p.a = least(cause, effect) AND p.b = greatest(cause, effect)")
+def between_edges_tier(spark, d):
+    edges = between_evidence(spark, d).withColumn("a", F.least("cause", "effect")).withColumn("b", F.greatest("cause", "effect"))
+    return edges.join(_tiers(spark, d), ["a", "b"]).select("cause", "effect", "obs_lag", rounded("obs_rho").alias("obs_rho"), "statistically_significant", "tier")
+
+
+@query("""SELECT n_nationkey AS k, substr(sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}'), 1, 16) AS fingerprint FROM nation""")
+def config_fingerprint(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet")
+    return rows.select(F.col("n_nationkey").alias("k"), fingerprint(F.struct("n_name", "n_regionkey")).alias("fingerprint"))
+
+
+@query("""SELECT n_nationkey AS area, (round(i * 0.1, 6) + 0.0)::DOUBLE AS lat, (round(j * 0.1, 6) + 0.0)::DOUBLE AS lon FROM (
+  SELECT n_nationkey, j, unnest(range(ceil((n_nationkey * 0.3 - 0.15) / 0.1 - 0.5)::BIGINT, floor((n_nationkey * 0.3 + 0.57 + 0.15) / 0.1 + 0.5)::BIGINT + 1)) AS i FROM (
+    SELECT n_nationkey, unnest(range(ceil((n_nationkey * 0.2 - 0.15) / 0.1 - 0.5)::BIGINT, floor((n_nationkey * 0.2 + 0.33 + 0.15) / 0.1 + 0.5)::BIGINT + 1)) AS j FROM nation))""".replace("* 0.3 - 0.15", "* 0.31::DOUBLE - 0.15").replace("* 0.3 + 0.57", "* 0.31::DOUBLE + 0.57").replace("* 0.2 - 0.15", "* 0.23::DOUBLE - 0.15").replace("* 0.2 + 0.33", "* 0.23::DOUBLE + 0.33"))
+def area_cells(spark, d):
+    """Grid cells of a box for every nation."""
+    n = F.col("n_nationkey")
+    boxes = spark.read.parquet(f"{d}/nation.parquet").select(n.alias("area"), (n * 0.31).alias("south"), (n * 0.31 + 0.57).alias("north"), (n * 0.23).alias("west"), (n * 0.23 + 0.33).alias("east"))
+    return grid.cells_in_box(boxes).select("area", (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"))
+
+
+@query(f"""WITH c AS (SELECT c_nationkey AS area, round(floor((c_custkey % 7 * 0.1::DOUBLE + 0.03) / 0.1 + 0.5) * 0.1, 6) AS lat, round(floor((c_custkey % 5 * 0.1::DOUBLE + 0.03) / 0.1 + 0.5) * 0.1, 6) AS lon FROM customer),
+g AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, round(floor((o_orderkey % 7 * 0.1::DOUBLE + 0.02) / 0.1 + 0.5) * 0.1, 6) AS lat, round(floor((o_orderkey % 5 * 0.1::DOUBLE + 0.02) / 0.1 + 0.5) * 0.1, 6) AS lon, o_orderpriority AS variable, o_totalprice AS value FROM orders),
+p AS (SELECT DISTINCT area, lat, lon FROM c) SELECT area, variable, month, {r6('avg(value)')} AS value FROM g JOIN p USING (lat, lon) GROUP BY ALL""")
+def grid_area_means(spark, d):
+    at = lambda key, k, x: (F.col(key) % k * 0.1 + x)
+    cells = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("area"), at("c_custkey", 7, 0.03).alias("lat"), at("c_custkey", 5, 0.03).alias("lon")).distinct()
+    values = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").alias("time"), at("o_orderkey", 7, 0.02).alias("lat"), at("o_orderkey", 5, 0.02).alias("lon"), F.col("o_orderpriority").alias("variable"), F.col("o_totalprice").alias("value"))
+    return grid.area_means(values, cells).select("area", "variable", "month", rounded("value").alias("value"))
+
+
+@query("SELECT s_nationkey AS station, max(s_suppkey % 3)::BIGINT AS regulated, count(*)::INTEGER AS n_periods, min(1950 + s_suppkey % 50)::BIGINT AS first_year FROM supplier GROUP BY s_nationkey")
+def regulation_history(spark, d):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("station"), (1950 + F.col("s_suppkey") % 50).alias("year_from"), (2000 + F.col("s_suppkey") % 9).alias("year_to"), (F.col("s_suppkey") % 3).alias("regulated"))
+    out = screening.regulated_stations(rows)
+    return out.select("station", "regulated", F.size("periods").alias("n_periods"), F.col("periods")[0]["year_from"].alias("first_year"))
+
+
+@query(f"WITH {P.SPARSE_SQL} SELECT entity, pos, {r6('x - avg(x) OVER (PARTITION BY entity)')} AS centred FROM sparse")
+def centred_levels(spark, d):
+    return report.centred(P.sparse(spark, d), E, "x").select("entity", F.col("pos").cast("long").alias("pos"), rounded("centred").alias("centred"))
+
+
+@query("SELECT event_type AS entity, count(*) AS n, CASE event_type WHEN 'purchase' THEN 'Bought' WHEN 'view' THEN 'Seen' ELSE event_type END AS label, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END::INTEGER AS label_rank FROM events GROUP BY event_type")
+def labelled_order(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("entity")).agg(F.count("*").alias("n"))
+    return report.labelled(rows, "entity", {"purchase": "Bought", "view": "Seen"}).orderBy("label_rank", F.desc("n"))
+
+
+@query(f"""WITH {EVIDENCE_SQL}, a AS (SELECT cause, effect FROM evidence WHERE statistically_significant), b AS (SELECT effect AS cause, cause AS effect FROM evidence WHERE statistically_significant)
+SELECT 'both' AS kind, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'one', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def direction_sets(spark, d):
+    """Pairs of variables significant in both directions somewhere, and in one only."""
+    rows = evidence(spark, d).where("statistically_significant")
+    a, b = rows.select("cause", "effect"), rows.select(F.col("effect").alias("cause"), F.col("cause").alias("effect"))
+    return a.intersect(b).select(F.lit("both").alias("kind"), "cause", "effect").unionByName(a.subtract(b).select(F.lit("one").alias("kind"), "cause", "effect"))
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT entity, cause, effect, {r6('obs_rho')} AS obs_rho, (row_number() OVER (ORDER BY statistically_significant DESC, round(evidence.obs_rho, 6) DESC, entity, cause, effect))::INTEGER AS place FROM evidence QUALIFY row_number() OVER (ORDER BY statistically_significant DESC, round(evidence.obs_rho, 6) DESC, entity, cause, effect) <= 20")
+def strongest_edges(spark, d):
+    """A report's head: the twenty strongest, significant ones first."""
+    order = [F.desc("statistically_significant"), F.round("obs_rho", 6).desc(), "entity", "cause", "effect"]
+    top = evidence(spark, d).orderBy(*order).limit(20)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("entity", "cause", "effect", rounded("obs_rho").alias("obs_rho"), "place")
