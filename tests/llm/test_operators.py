@@ -241,6 +241,13 @@ def test_additive_model_learns_an_interaction():
     assert (0, 1) in model.pairs and ((model.score(x[3000:]) >= 0.5) == (y[3000:] > 0)).mean() > 0.95
 
 
+def test_bounded_choice_of_rows(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    some = [r.doc_id for r in quality.least_hashed(rows, 300).collect()]
+    assert 250 <= len(some) <= 300 and sorted(some) == sorted(r.doc_id for r in quality.least_hashed(rows.repartition(7), 300).collect())
+    assert quality.least_hashed(rows, 5000).count() == 5000
+
+
 def test_quality_on_held_out_rows(spark, none):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices(["the", "Cat", "sat", "on", "mats,", "today."], k=rng.randint(5, 60))) if i % 3 else " ".join(rng.choices(["BUY!!", "$$$", "##", "now!!"], k=rng.randint(5, 60)))) for i in range(900)]

@@ -154,13 +154,31 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
+def least_hashed(rows: DataFrame, most: int, slots: int = 4096) -> DataFrame:
+    """The rows with the least hashes of doc_id, at most ``most``: found by counting hash slots, so that no task sends
+    more than is kept (a sorted limit would send ``most`` rows from every task)."""
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    total = rows.count()
+    if total <= most:
+        return rows
+    reach = min(1.0, 2.0 * most / total)  # the slots divide the part of the hashes in which the limit falls
+    counts = {r.slot: r.n for r in rows.where(share < reach).groupBy(F.floor(share / reach * slots).alias("slot")).agg(F.count("*").alias("n")).collect()}
+    held = slot = 0
+    while slot < slots and held + counts.get(slot, 0) <= most:
+        held += counts.get(slot, 0)
+        slot += 1
+    return rows.where(share < reach * slot / slots)
+
+
 def learn(table: DataFrame, labels: DataFrame, max_rows: int = 30000) -> AdditiveModel:
     """Fits to at most ``max_rows`` labelled rows that are not held out, chosen by a hash of the id.
 
     Rows of labels without id or label are ignored; of several labels of one id the largest counts.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-    chosen = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).select("x", "y").collect()
+    rows = durable(table.join(marks, "doc_id").select("doc_id", "x", "y"))
+    chosen = least_hashed(rows, max_rows).select("x", "y", "doc_id").collect()
+    chosen.sort(key=lambda r: (r.doc_id, r.x))
     x = np.array([r.x for r in chosen], dtype=np.float64).reshape(len(chosen), len(FEATURES))
     return fit(x, np.array([float(r.y > 0) for r in chosen]))
 
