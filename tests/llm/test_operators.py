@@ -137,6 +137,13 @@ def test_suffix_arrays_in_lock_step():
         assert got.tolist() == want
 
 
+@pytest.mark.parametrize("length", [150, 256, 340, 700])
+def test_suffix_dedup_of_other_lengths(docs, length):
+    rows = docs.collect()
+    got = suffix.with_repeats_cut(docs.select("doc_id", "text"), length).collect()
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == bag((r.doc_id, *b) for r, b in zip(rows, removed_brute([raw(r) for r in rows], length)))
+
+
 @pytest.mark.parametrize("many", [64, 0])
 def test_suffix_dedup_matches_brute_force(docs, none, many, monkeypatch):
     plain = suffix.repeated_windows

@@ -2,7 +2,7 @@
 
 A byte goes if a ``length``-byte string that covers it also starts anywhere else. Three steps:
 
-*Routing.* Of the k-gram starts inside a window of ``length`` bytes the one with the least hash is its anchor, so equal
+*Routing.* Of the gram starts inside a window of ``length`` bytes the one with the least hash is its anchor, so equal
 windows have equal anchor grams. The windows of a document that share an anchor are a run; the run's bytes (a segment)
 hold all of them. Equal windows can only lie in segments of the same anchor gram, and only grams that occur twice matter.
 
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import durable, schema_of, unused
 
-GRAM = 192
 _PLACES = np.uint64((1 << 30) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -43,11 +42,18 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 192 bytes from each place (places without so many: of what follows, with zeros)."""
+def gram_of(length: int) -> int:
+    """Bytes of the anchor gram for windows of ``length``: about half, so that anchors stay sparse and rarely agree by chance."""
+    if length < 128:
+        raise ValueError("length must be at least 128")
+    return 192 if length >= 384 else 128 if length >= 320 else 64
+
+
+def gram_hashes(data: np.ndarray, gram: int = 192) -> np.ndarray:
+    """Hash of the ``gram`` (64, 128 or 192) bytes from each place (places without so many: of what follows, with zeros)."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)])
-    eight = np.zeros(n + GRAM, dtype="<u8")
+    padded = np.concatenate([data, np.zeros(gram + 8, np.uint8)])
+    eight = np.zeros(n + gram, dtype="<u8")
     for i in range(8):
         part = padded[i : i + (len(eight) - i + 7) // 8 * 8]
         part = part[: len(part) // 8 * 8].view("<u8")
@@ -55,10 +61,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     now, size = _spread(eight * _ODD[0]), 8
     levels = {}
     for odd in (_ODD[1], _ODD[2], _ODD[4], _ODD[5]):
-        now = _spread(now[:-size] * odd + now[size:])
-        size *= 2
-        levels[size] = now
-    return _spread(levels[64][:n] * _ODD[1] + levels[128][64 : 64 + n])
+        if size * 2 <= gram:
+            now = _spread(now[:-size] * odd + now[size:])
+            size *= 2
+            levels[size] = now
+    return _spread(levels[64][:n] * _ODD[1] + levels[128][64 : 64 + n]) if gram == 192 else levels[gram][:n]
 
 
 def runs(texts: list[bytes], length: int) -> list[tuple[int, int, int, int, int]]:
@@ -68,9 +75,10 @@ def runs(texts: list[bytes], length: int) -> list[tuple[int, int, int, int, int]
     if len(data) < length:
         return []
     ends = np.repeat(np.cumsum(sizes), sizes)
-    grams = gram_hashes(data)
+    gram = gram_of(length)
+    grams = gram_hashes(data, gram)
     least = (grams & ~_PLACES) | np.arange(len(data), dtype=np.uint64)
-    width, step = length - GRAM + 1, 1
+    width, step = length - gram + 1, 1
     fill = np.full(width, ~np.uint64(0))
     while step * 2 <= width:
         least = np.minimum(least, np.concatenate([least[step:], fill[:step]]))
@@ -355,8 +363,8 @@ def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20) ->
 
 def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band: int = 16) -> DataFrame:
     """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated windows."""
-    if length < GRAM + band:
-        raise ValueError(f"length must be at least {GRAM + band}")
+    if length < gram_of(length) + band:
+        raise ValueError(f"length must be at least {gram_of(length) + band}")
     pieces = durable(_pieces(texts, length))
     grams = pieces.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
