@@ -13,7 +13,7 @@ from ..functions.scalars import correlation, fingerprint, haversine_km, name_tok
 from ..operators import graph, report, screening, selection, stats
 from ..sources import grid
 from ..sources import panels as P
-from ..sources.files import last_by, remaining
+from ..sources.files import durable, last_by, remaining
 from . import corr, query, r6, rounded
 
 E = ["entity"]
@@ -180,22 +180,20 @@ FORECAST_SQL = ", forecast AS (SELECT entity, cause AS variable, obs_lag AS lag
 
 
 def forecast_lags(spark, d):
-    panel = P.hourly(spark, d)
-    found = []
-    for v in VARIABLES[1:]:
-        w = Window.partitionBy("entity").orderBy("pos")
-        wide = panel.select("entity", "level", *(F.lag(v, k).over(w).alias(f"l{k}") for k in (1, 2, 3))).groupBy("entity").agg(*(correlation(f"l{k}", "level").alias(f"r{k}") for k in (1, 2, 3)))
-        found.append(wide.select("entity", F.lit(v).alias("variable"), F.explode(F.array(*(F.struct(F.lit(k).alias("obs_lag"), F.col(f"r{k}").alias("obs_rho")) for k in (1, 2, 3)))).alias("s")).select("entity", "variable", "s.*"))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.union(more)
-    return _strongest(rows, ["entity", "variable"]).select("entity", "variable", F.col("obs_lag").alias("lag"))
+    """(entity, variable, lag) in one pass: every lag is a column, every correlation an aggregate."""
+    w = Window.partitionBy("entity").orderBy("pos")
+    cells = [(v, k) for v in VARIABLES[1:] for k in (1, 2, 3)]
+    wide = P.hourly(spark, d).select("entity", "level", *(F.lag(v, k).over(w).alias(f"{v}_{k}") for v, k in cells))
+    wide = wide.groupBy("entity").agg(*(correlation(f"{v}_{k}", "level").alias(f"{v}_{k}") for v, k in cells))
+    rows = F.array(*(F.struct(F.lit(v).alias("variable"), F.lit(k).alias("obs_lag"), F.col(f"{v}_{k}").alias("obs_rho")) for v, k in cells))
+    long = wide.select("entity", F.explode(rows).alias("s")).select("entity", "s.*")
+    return _strongest(long, ["entity", "variable"]).select("entity", "variable", F.col("obs_lag").alias("lag"))
 
 
 @query(f"""WITH RECURSIVE {EVIDENCE_SQL}{USABLE_SQL}, up AS (SELECT entity, cause AS variable FROM usable WHERE effect = 'level' UNION SELECT u.entity, u.cause FROM usable u JOIN up ON u.entity = up.entity AND u.effect = up.variable)
 SELECT entity, variable FROM up WHERE variable <> 'level'""")
 def ancestors(spark, d):
-    return graph.ancestors(selection.usable(evidence(spark, d)), E, "level", len(VARIABLES))
+    return graph.ancestors(durable(selection.usable(evidence(spark, d))), E, "level", len(VARIABLES))
 
 
 @query(f"""WITH {EVIDENCE_SQL}{USABLE_SQL}{FORECAST_SQL} SELECT u.entity, u.cause AS variable, obs_lag AS causal_lag, CASE WHEN obs_lag >= 1 THEN obs_lag ELSE f.lag END AS lag
@@ -210,7 +208,7 @@ chosen AS (SELECT a.entity, a.variable, u.obs_lag AS causal_lag, CASE WHEN u.obs
 
 
 def _ancestor_lags(spark, d):
-    edges, lags = evidence(spark, d), forecast_lags(spark, d)
+    edges, lags = durable(evidence(spark, d)), durable(forecast_lags(spark, d))  # each is read several times
     return selection.ancestor_lags(edges, E, "level", lags, lags, lags.select("entity", "variable"), len(VARIABLES))
 
 
