@@ -45,9 +45,13 @@ def _apply(filter_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _steady(short: np.ndarray, long: np.ndarray) -> bool:
-    for c in (short, long):
-        if len(c) and np.abs(np.roots(np.concatenate([[1.0], -c]))).max(initial=0) >= 0.999:
-            return False
+    """Whether both polynomials 1 - c1 z - c2 z² … have their roots outside the unit circle (step-down recursion)."""
+    for c in (short.tolist(), long.tolist()):
+        while c:
+            r = c[-1]
+            if abs(r) >= 0.999:
+                return False
+            c = [(c[i] + r * c[-2 - i]) / (1 - r * r) for i in range(len(c) - 1)]
     return True
 
 
