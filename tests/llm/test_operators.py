@@ -225,9 +225,10 @@ def test_rounding_keeps_sums_and_expectations():
 def test_top_k_is_exact(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(1, 700)]
-    rows += [(i, rows[3][1]) for i in range(700, 760)] + [(0, [0.0] * 8), (800, None), (900, [1.0, None]), (901, [float("nan")] * 8), (902, [float("inf")] * 8), (903, []), (904, [0.5]), (None, [1.0] * 8), (1000, [-0.5] * 8)]
+    rows += [(i, rows[3][1]) for i in range(700, 760)] + [(0, [0.0] * 8), (800, None), (900, [1.0, None]), (901, [float("nan")] * 8), (902, [float("inf")] * 8), (903, []), (904, [0.5]), (None, [1.0] * 8), (1000, [-0.5] * 8), rows[99], rows[149]]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string").repartition(4)
     kept = [(r.vec_id, [math.floor(1024 * float(np.float32(x))) for x in r.embedding]) for r in table.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    assert sum(i == 100 for i, _ in kept) == 2  # a repeated query
     want = {}
     for q, v in kept:
         if q % 100 == 0:

@@ -208,4 +208,5 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, salts:
 
 
 def op10_html(pages: DataFrame) -> DataFrame:
+    """``extract`` with production parameters; repeated rows are pages of their own."""
     return extract(pages)

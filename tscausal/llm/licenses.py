@@ -198,6 +198,7 @@ def scan(docs: DataFrame, probability: float = 0.5, agreement: float = 0.8) -> D
 
 
 def op8_licenses(docs: DataFrame) -> DataFrame:
+    """``scan`` with production parameters."""
     return scan(docs)
 
 

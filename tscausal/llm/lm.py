@@ -185,4 +185,5 @@ def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: in
 
 
 def op9_lm(docs: DataFrame) -> DataFrame:
+    """``model_scores`` with production parameters."""
     return model_scores(docs)

@@ -109,4 +109,5 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) with weights 5, 2, 1 and a share of 150 %."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

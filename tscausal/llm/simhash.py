@@ -196,5 +196,6 @@ def keep_one(docs: DataFrame, limit: int = 2, width: int = 3) -> DataFrame:
 
 
 def op7_simhash(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id): classes at two or fewer differing bits."""
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

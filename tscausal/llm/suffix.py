@@ -413,5 +413,6 @@ def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False)
 
 
 def op2_suffix_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, for strings of 400 bytes."""
     cut_docs = with_repeats_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return cut_docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

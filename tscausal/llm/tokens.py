@@ -72,4 +72,5 @@ def limits(table: DataFrame, at: list[int], spark: SparkSession) -> DataFrame:
 
 
 def op3_token_counts(docs: DataFrame) -> DataFrame:
+    """The histogram of whole texts; repeated rows count each, an empty table has no rows."""
     return histogram(encoded_lengths(docs))

@@ -94,11 +94,13 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 16
 
     Rows with the query's own id are no candidates. Vectors that are null or hold null or non-finite components, and
     rows without id, take no part; shorter vectors count as padded with zeros. Components are taken as floor(1024 x),
-    which must stay below 2**31. Rows are dealt to blocks by a hash, so that copies and hot values spread; each block is
+    which must stay below 2**31. Repeated rows are candidates each, but one query; vectors that share a query's id share
+    its ranks. Rows are dealt to blocks by a hash, so that copies and hot values spread; each block is
     indexed once for every ``query_rows`` queries and returns k rows a query, which are then merged.
     """
     keep = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
-    data, queries = (durable(x.where(keep).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")) for x in (data, queries))
+    data, queries = (x.where(keep).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for x in (data, queries))
+    data, queries = durable(data), durable(queries.dropDuplicates())
     blocks, parts = -(-data.count() // block_rows) or 1, -(-queries.count() // query_rows) or 1
     data = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -120,6 +122,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 16
 
 
 def op5_topk(embeddings: DataFrame) -> DataFrame:
+    """The ten best rows for every row whose id is divisible by 100."""
     return top_k(embeddings, embeddings.where("vec_id % 100 = 0"))
 
 
