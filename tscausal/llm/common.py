@@ -31,7 +31,17 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``durable`` that nothing reads any more: what came from them has been written too."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -66,7 +76,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = durable(small.select("e.u", "e.v").where("u <> v").distinct())
+        last, now = now, durable(small.select("e.u", "e.v").where("u <> v").distinct())
+        release(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     tops = now.select(F.col("v").alias("u"), "v").distinct()

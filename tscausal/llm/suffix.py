@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, schema_of, unused
+from .common import durable, release, schema_of, unused
 
 _PLACES = np.uint64((1 << 30) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -368,7 +368,9 @@ def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band:
     pieces = durable(_pieces(texts, length))
     grams = pieces.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
-    shared = durable(pieces.join(durable(grams.select("gram", "equal")), "gram"))
+    grams = durable(grams.select("gram", "equal"))
+    shared = durable(pieces.join(grams, "gram"))
+    release(pieces, grams)
     differing = shared.where("NOT equal").groupBy("gram", "segment").agg(F.sum(F.size("firsts")).alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead")).alias("at"))
     kinds = differing.groupBy("gram").agg(F.count("*").alias("different"))
     part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
