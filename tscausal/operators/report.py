@@ -89,7 +89,7 @@ def configuration_matrix(results: DataFrame, entity: str, methods: list[str], di
 
 def supported_drivers(edges: DataFrame, target: str) -> DataFrame:
     """Significant edges into the target, strongest first within an entity."""
-    order = Window.partitionBy("entity").orderBy(F.desc("obs_rho"), "cause")
+    order = Window.partitionBy("entity").orderBy(F.round("obs_rho", 9).desc(), "cause")  # equal but for the last digits: by name
     rows = edges.where(F.col("statistically_significant") & (F.col("effect") == target))
     return rows.select("entity", F.row_number().over(order).alias("place"), "cause", "obs_lag", "obs_rho", "p_fdr", "lag_resolution")
 

@@ -294,7 +294,7 @@ def tier_boxes(spark, d):
     return report.tier_boxes(rows).select("tier", "n", *(rounded(c).alias(c) for c in ("low", "q1", "median", "q3", "high")))
 
 
-@query(f"WITH {EVIDENCE_SQL} SELECT entity, (row_number() OVER (PARTITION BY entity ORDER BY evidence.obs_rho DESC, cause))::INTEGER AS place, cause, obs_lag, {r6('evidence.obs_rho')} AS obs_rho, {r6('evidence.p_fdr')} AS p_fdr, lag_resolution FROM evidence WHERE statistically_significant AND effect = 'level'")
+@query(f"WITH {EVIDENCE_SQL} SELECT entity, (row_number() OVER (PARTITION BY entity ORDER BY round(evidence.obs_rho, 9) DESC, cause))::INTEGER AS place, cause, obs_lag, {r6('evidence.obs_rho')} AS obs_rho, {r6('evidence.p_fdr')} AS p_fdr, lag_resolution FROM evidence WHERE statistically_significant AND effect = 'level'")
 def supported_drivers(spark, d):
     rows = report.supported_drivers(evidence(spark, d), "level")
     return rows.select("entity", "place", "cause", "obs_lag", rounded("obs_rho").alias("obs_rho"), rounded("p_fdr").alias("p_fdr"), "lag_resolution")
