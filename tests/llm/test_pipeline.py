@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tscausal.llm import decontaminate
+from tscausal.llm import decontaminate, shingles
 
 from .conftest import prose
 from .test_operators import print_brute, removed_brute
@@ -65,3 +65,31 @@ def test_run_and_empty(spark, corpus, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(5)
+    texts = []
+
+    def edited(words, n):
+        words = list(words)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = "new" + str(rng.random())
+        return " ".join(words)
+
+    for n in range(40):  # one to six changed words of 150 reach 0.8 or not
+        words = prose(rng, 150).split()
+        texts += [" ".join(words), edited(words, 1 + n % 3), edited(words, 6)]
+    hot = prose(rng, 200).split()
+    texts += [edited(hot, 1) for _ in range(30)] + [None, "", " \n", "one", "One ", "two words"]
+    docs = spark.createDataFrame([(len(texts) - i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(3)
+    raw = [(t or "").encode() for t in texts]
+    root = list(range(len(raw)))
+    for i in range(len(raw)):
+        for j in range(i):
+            if root[i] != root[j] and shingles.similarity(raw[i], raw[j]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(len(texts) - i for i in range(len(raw)) if root[i] == r) for r in set(root)}
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want
+    assert shingles.similarity(b"a b c d e f", b"a b c d e g") == 1 / 3
