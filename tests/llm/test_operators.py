@@ -413,3 +413,13 @@ def test_html_templates_go_but_shared_paragraphs_stay(spark):
     got = {r.page_id: r.text for r in html.op10_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Title 3\nBody of 3." and got[105] == "Number 5\nThis passage stands in many articles."
     assert got[200] == "Follow our daily letter\none page, copied"  # twelve copies are one page
+
+
+def test_html_templates_of_a_large_host_need_no_share(spark):
+    """Neutral markup on 8 of 400 pages of a host goes; what stands on 4 pages, or on 8 pages of other hosts, stays."""
+    box, rare = "<div class=x7><p>Rotating word of the week</p></div>", "<div class=x8><p>On four pages</p></div>"
+    rows = [(i, f"https://big.example.org/{i}", f"<body>{box if i < 8 else ''}{rare if i % 100 == 0 else ''}<h2>Title {i}</h2></body>") for i in range(400)]
+    rows += [(1000 + i, f"https://h{i}.example.org/", f"<body>{box}<h2>Other {i}</h2></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html.op10_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3" and got[0] == "On four pages\nTitle 0" and got[399] == "Title 399"
+    assert got[1002] == "Rotating word of the week\nOther 2"

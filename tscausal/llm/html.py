@@ -165,37 +165,39 @@ def host_of(column: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(column), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
-    """(host, subtree): subtrees on at least ``min_pages`` different pages of a host and ``min_share`` of them.
+def page_key():
+    return F.xxhash64(F.coalesce("html", F.lit("")))
 
-    Pages with the same html count once, so a page and its copies do not make each other a template.
-    """
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, subtree): the different container subtrees of each page; ``page`` is a hash of its html."""
 
     def run(batches):
         for batch in batches:
             hosts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = [Page(x or "").subtrees for x in batch.column(2).to_pylist()]
-            flat = [(host, key, h) for host, key, hs in zip(hosts, keys, found) for h in (*hs, 0)]  # 0 stands for the page itself
+            flat = [(host, key, h) for host, key, hs in zip(hosts, keys, found) for h in hs]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat), (pa.string(), pa.int64(), pa.int64()))] if flat else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], ["host", "page", "subtree"])
 
-    rows = pages.select(host_of().alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("page"), "html")
-    counts = rows.mapInArrow(run, "host string, page long, subtree long").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = durable(counts.where(f"subtree = 0 OR n >= {int(min_pages)}"))
-    many = counts.where("subtree <> 0")
-    total = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    return many.join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    return pages.select(host_of().alias("host"), page_key().alias("page"), "html").mapInArrow(run, "host string, page long, subtree long").distinct()
+
+
+def templates(found: DataFrame, min_pages: int = 5) -> DataFrame:
+    """(host, subtree) of ``found`` (host, page, subtree): those on at least ``min_pages`` different pages, whatever the size of the host.
+
+    Pages with the same html count once, so a page and its copies do not make each other a template.
+    """
+    return found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, salts: int = 64) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html); null html is empty, text then ''.
 
-    A host's templates are few beside its pages (each stands on a tenth of them at least and is on the page whole), so
-    they are gathered per host and repeated for ``salts`` parts of the host's pages, over which a hot host is spread.
+    Templates meet the pages as rows (host, subtree); gathered are only those that stand on one page.
     """
-    lists = templates(pages, min_pages, min_share).groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("cut"))
-    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"), salt.alias("salt")).join(lists, ["host", "salt"], "left")
+    found = durable(subtrees(pages))
+    cuts = found.join(templates(found, min_pages), ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("cut"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"), page_key().alias("page")).join(cuts, ["host", "page"], "left")
 
     def run(batches):
         for batch in batches:
