@@ -206,8 +206,8 @@ def suffix_arrays(texts: list[bytes], bucket: list[int] | np.ndarray) -> tuple[n
     return out[1:], of
 
 
-def repeated(segments: list[bytes], windows: list[int], weights: list[int], bucket: list[int], length: int) -> list[np.ndarray]:
-    """For each segment, which of its first ``windows`` windows occur more than once in its bucket (by ``weights``)."""
+def repeated(segments: list[bytes], windows: list[int], weights: list[int], bucket: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each of ``lengths`` (ascending) and each segment, at which of its first ``windows`` places a string of that length starts that occurs more than once in its bucket (by ``weights``)."""
     order, _ = suffix_arrays(segments, bucket)
     lens = np.array([len(t) for t in segments], dtype=np.int64)
     starts = np.cumsum(lens + 1) - lens
@@ -223,18 +223,23 @@ def repeated(segments: list[bytes], windows: list[int], weights: list[int], buck
     words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel()
     a, b = order[:-1], order[1:]
     same = np.asarray(bucket)[of[a]] == np.asarray(bucket)[of[b]] if len(order) else np.zeros(0, bool)
-    left = np.flatnonzero(same)
-    for at in [*range(0, length - 7, 8), length - 8]:
-        left = left[words[a[left] + at] == words[b[left] + at]]
-        if not len(left):
-            break
-    alike = np.zeros(max(len(order) - 1, 0), bool)
-    alike[left] = True
-    cls = np.concatenate([[0], np.cumsum(~alike)]) if len(order) else np.zeros(0, np.int64)
-    total = np.bincount(cls, np.array(weights)[of[order]]) if len(order) else np.zeros(0)
-    hit = np.zeros(len(places), bool)
-    hit[number[order]] = total[cls] > 1
-    return np.split(hit, np.cumsum(count)[:-1]) if len(count) else []
+    left, before, out = np.flatnonzero(same), 0, []
+    ends = starts + lens
+    for length in lengths:
+        left = left[np.minimum(ends[of[a[left]]] - a[left], ends[of[b[left]]] - b[left]) >= length]
+        for at in [*range(before, length - 7, 8), length - 8]:
+            left = left[words[a[left] + at] == words[b[left] + at]]
+            if not len(left):
+                break
+        before = length // 8 * 8
+        alike = np.zeros(max(len(order) - 1, 0), bool)
+        alike[left] = True
+        cls = np.concatenate([[0], np.cumsum(~alike)]) if len(order) else np.zeros(0, np.int64)
+        total = np.bincount(cls, np.array(weights)[of[order]]) if len(order) else np.zeros(0)
+        hit = np.zeros(len(places), bool)
+        hit[number[order]] = total[cls] > 1
+        out.append(np.split(hit, np.cumsum(count)[:-1]) if len(count) else [])
+    return out
 
 
 def spans(hits: np.ndarray) -> list[tuple[int, int]]:
@@ -263,10 +268,14 @@ def cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(kept) + text[at:]
 
 
-def _pieces(texts: DataFrame, length: int) -> DataFrame:
+def print_of(data: bytes, windows: int) -> int:
+    return xxhash.xxh3_64_intdigest(data, windows) - (1 << 63)
+
+
+def _pieces(texts: DataFrame, length: int, reach: int) -> DataFrame:
     """(key, size, firsts, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
 
-    Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
+    A segment goes ``reach`` bytes on from the start of its last window, or to the end of the text. Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
     """
 
     def run(batches):
@@ -279,7 +288,7 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
                     held += len(texts[to])
                     to += 1
                 found = runs(texts[at:to], length)
-                prints = [xxhash.xxh3_64_intdigest(texts[at + i][s : s + n - 1 + length], d) for i, s, n, d, _ in found]
+                prints = [xxhash.xxh3_64_intdigest(texts[at + i][s : s + n - 1 + reach], d) for i, s, n, d, _ in found]
                 rows: dict[tuple, list[int]] = {}
                 for (i, first, n, d, gram), p in zip(found, prints):
                     rows.setdefault((i, n, d, gram, p), []).append(first)
@@ -292,19 +301,20 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
     return texts.where(F.col("size") >= length).select("key", "size", "text").mapInArrow(run, "key long, size int, firsts array<int>, windows int, ahead int, gram long, segment long")
 
 
-def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band: int) -> DataFrame:
+def _segments(texts: DataFrame, wanted: DataFrame, length: int, reach: int, many: int, band: int) -> DataFrame:
     """(route, gram, segment, weight, shift, windows, bytes): the bytes of each wanted segment, once or more often."""
 
     def run(batches):
-        names = ["route", "gram", "segment", "weight", "shift", "windows", "bytes"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["route", "print", "gram", "segment", "weight", "shift", "windows", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             rows, held = [], 0
             for text, parts in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for p in parts:
                     s, n, d = p["first"], p["windows"], p["ahead"]
                     if p["different"] <= many:
-                        rows.append((p["gram"], p["gram"], p["segment"], p["weight"], 0, n, text[s : s + n - 1 + length]))
+                        data = text[s : s + n - 1 + reach]
+                        rows.append((p["gram"], print_of(data, n), p["gram"], p["segment"], p["weight"], 0, n, data))
                         continue
                     anchor = s + d
                     for low in range((d - n + 1) // band * band, d + 1, band):
@@ -312,7 +322,8 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band:
                         a, b = max(s, anchor - low - band + 1), min(s + n - 1, anchor - low)
                         core = text[anchor - low : anchor - low - band + 1 + length]
                         route = xxhash.xxh3_64_intdigest(core, low) - (1 << 63)
-                        rows.append((route, p["gram"], p["segment"], p["weight"], a - s, b - a + 1, text[a : b + length]))
+                        data = text[a : b + reach]
+                        rows.append((route, print_of(data, b - a + 1), p["gram"], p["segment"], p["weight"], a - s, b - a + 1, data))
                 held += 1
                 if len(rows) > 20000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
@@ -321,29 +332,23 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     once = texts.groupBy("key", "size").agg(F.first("text").alias("text"))
-    return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, gram long, segment long, weight long, shift int, windows int, bytes binary")
+    return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, print long, gram long, segment long, weight long, shift int, windows int, bytes binary")
+
 
+def _sorted_out(segments: DataFrame, lengths: tuple[int, ...], batch_bytes: int = 1 << 20) -> DataFrame:
+    """(route, print, level, first, windows): runs of repeated strings of each length, from one suffix array per route.
 
-def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(gram, segment, first, windows): runs of repeated windows, from one suffix array per route."""
+    ``segments`` has (route, print, weight, windows, bytes), every different text of a route once.
+    """
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        # Equal bytes of a route enter the array once, with their number.
-        texts: dict[tuple, int] = {}
-        owners: list[list[tuple]] = []
-        for route, gram, segment, weight, shift, windows, data in dict.fromkeys(rows):
-            k = texts.setdefault((route, data, windows), len(texts))
-            if k == len(owners):
-                owners.append([])
-            owners[k].append((gram, segment, weight, shift))
-        routes = {r: i for i, r in enumerate(dict.fromkeys(r for r, _, _ in texts))}
-        load = np.bincount([routes[r] for r, _, _ in texts], [sum(o[2] for o in os) for os in owners])
-        kept = [i for i, (r, _, _) in enumerate(texts) if load[routes[r]] > 1]
-        named = list(texts)
-        numbers = {r: i for i, r in enumerate(dict.fromkeys(named[i][0] for i in kept))}
-        hits = repeated([named[i][1] for i in kept], [named[i][2] for i in kept], [sum(o[2] for o in owners[i]) for i in kept], [numbers[named[i][0]] for i in kept], length) if kept else []
-        out = [(g, s, shift + a, n) for i, hit in zip(kept, hits) for a, n in spans(hit) for g, s, _, shift in owners[i]]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["gram", "segment", "first", "windows"])
+        routes = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in rows))}
+        load = np.bincount([routes[x[0]] for x in rows], [x[2] for x in rows])
+        kept = [x for x in rows if load[routes[x[0]]] > 1]
+        numbers = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in kept))}
+        levels = repeated([x[4] for x in kept], [x[3] for x in kept], [x[2] for x in kept], [numbers[x[0]] for x in kept], lengths) if kept else []
+        out = [(x[0], x[1], level, a, n) for level, hits in enumerate(levels) for x, hit in zip(kept, hits) for a, n in spans(hit)]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ((),) * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["route", "print", "level", "first", "windows"])
 
     def run(batches):
         rows, held, last = [], 0, None
@@ -358,63 +363,93 @@ def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20) ->
         if rows:
             yield solve(rows)
 
-    return segments.repartition("route").sortWithinPartitions("route").mapInArrow(run, "gram long, segment long, first int, windows int")
+    return segments.select("route", "print", "weight", "windows", "bytes").repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, print long, level int, first int, windows int")
 
 
-def repeated_windows(texts: DataFrame, length: int = 400, many: int = 64, band: int = 16) -> DataFrame:
-    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated windows."""
-    if length < gram_of(length) + band:
-        raise ValueError(f"length must be at least {gram_of(length) + band}")
-    pieces = durable(_pieces(texts, length))
+def repeated_windows(texts: DataFrame, lengths: tuple[int, ...], many: int = 64, band: int = 16) -> DataFrame:
+    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated strings of the shortest of ``lengths``.
+
+    ``runs`` are (first, windows, level): neighbouring starts of repeated strings of ``lengths[level]`` bytes.
+    """
+    length, reach = lengths[0], lengths[-1]
+    if length < gram_of(length) + band or list(lengths) != sorted(set(lengths)):
+        raise ValueError(f"lengths must ascend from at least {gram_of(length) + band}")
+    pieces = durable(_pieces(texts, length, reach))
     grams = pieces.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
     grams = durable(grams.select("gram", "equal"))
     shared = durable(pieces.join(grams, "gram"))
     release(pieces, grams)
-    differing = shared.where("NOT equal").groupBy("gram", "segment").agg(F.sum(F.size("firsts")).alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead")).alias("at"))
-    kinds = differing.groupBy("gram").agg(F.count("*").alias("different"))
+    differing = durable(shared.where("NOT equal").groupBy("gram", "segment").agg(F.sum(F.size("firsts")).alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead")).alias("at")))
+    kinds = durable(differing.groupBy("gram").agg(F.count("*").alias("different")))
     part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
-    wanted = differing.join(kinds, "gram").groupBy("at.key", "at.size").agg(F.collect_list(part).alias("parts"))
-    found = durable(_sorted_out(_segments(texts, wanted, length, many, band), length))
+    placed = durable(differing.join(kinds, "gram").select("at.key", "at.size", part.alias("part")))
+    wanted = placed.groupBy("key", "size").agg(F.collect_list("part").alias("parts"))
+    segments = durable(_segments(texts, wanted, length, reach, many, band))
+    # Equal bytes of a route enter the array once, with their number; their owners stay outside and are met by a join.
+    once = segments.groupBy("route", "print").agg(F.sum("weight").alias("weight"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    found = durable(_sorted_out(once, lengths))
+    hits = F.transform("hits", lambda x: F.struct((F.col("shift") + x["first"]).alias("first"), x["windows"].alias("windows"), x["level"].alias("level")))
+    by_route = durable(found.groupBy("route", "print").agg(F.collect_list(F.struct("first", "windows", "level")).alias("hits")))
+    owned = segments.select("route", "print", "gram", "segment", "shift").join(by_route, ["route", "print"]).select("gram", "segment", hits.alias("hits"))
     # The runs of a segment join as one list, so that a piece stays one row however many there are.
-    lists = found.groupBy("gram", "segment").agg(F.sort_array(F.collect_list(F.struct("first", "windows"))).alias("hits"))
-    whole = shared.where("equal").select("key", "size", F.transform("firsts", lambda f: F.struct(f.alias("first"), F.col("windows"))).alias("runs"))
+    lists = durable(owned.groupBy("gram", "segment").agg(F.flatten(F.collect_list("hits")).alias("hits")))
+    release(differing, kinds, placed, segments, found, by_route)
+    fits = [F.struct(F.col("f").alias("first"), F.least("windows", F.col("size") - F.col("f") - n + 1).alias("windows"), F.lit(level).alias("level")) for level, n in enumerate(lengths)]
+    whole = shared.where("equal").select("key", "size", "windows", F.explode("firsts").alias("f")).select("key", "size", F.filter(F.array(*fits), lambda x: x["windows"] > 0).alias("runs"))
     back = shared.where("NOT equal").select("key", "size", "firsts", "gram", "segment").distinct().join(lists, ["gram", "segment"])  # copies of a text once
-    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct((f + x["first"]).alias("first"), x["windows"].alias("windows")))))
+    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct((f + x["first"]).alias("first"), x["windows"].alias("windows"), x["level"].alias("level")))))
     every = whole.union(back.select("key", "size", moved.alias("runs")))
-    return every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    found = durable(every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs")))
+    release(shared, lists)
+    return found
 
 
-def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
+def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False, passage: int | None = None) -> DataFrame:
     """``docs`` with four more columns: n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
-    With ``as_text`` kept is a string instead; bytes of characters that a cut went through are left out.
+    With ``as_text`` kept is a string instead; bytes of characters that a cut went through are left out. With
+    ``passage``, a smaller number of bytes, a column ``without_passages`` follows: the text without the bytes of any
+    repeated string of that length, from the same suffix arrays.
 
     Texts are UTF-8 bytes, null is empty. Repeated rows are documents of their own, so each is the other's repeat.
-    Texts shorter than ``length`` keep everything. The four take the place of columns of these names.
+    Texts shorter than ``length`` keep everything. The new columns take the place of columns of these names. A text is
+    read whole by one task and must be shorter than 2^30 bytes.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "without_passages")
     key, size, marks = (unused(docs, x) for x in ("_key", "_size", "_runs"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
     texts = keyed.select(F.col(key).alias("key"), F.col(size).alias("size"), text.alias("text"))
-    found = repeated_windows(texts, length).select(F.col("key").alias(key), F.col("size").alias(size), F.col("runs").alias(marks))
-    names = docs.columns
+    lengths = tuple(sorted({length, passage or length}))
+    found = repeated_windows(texts, lengths).select(F.col("key").alias(key), F.col("size").alias(size), F.col("runs").alias(marks))
+    names, level = docs.columns, lengths.index(length)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            gone = [merged([(r["first"], r["windows"]) for r in x or ()], length) for x in batch.column(batch.schema.get_field_index(marks)).to_pylist()]
-            kept = [cut(t or b"", g) for t, g in zip(texts, gone)]
-            sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
+            texts = [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+            runs = batch.column(batch.schema.get_field_index(marks)).to_pylist()
+            gone = [merged([(r["first"], r["windows"]) for r in x or () if r["level"] == level], length) for x in runs]
+            kept = [cut(t, g) for t, g in zip(texts, gone)]
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
             more = [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], dtype=np.int64)), pa.array([len(g) for g in gone], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            if passage:
+                less = [cut(t, merged([(r["first"], r["windows"]) for r in x or () if r["level"] == 0], passage)) for t, x in zip(texts, runs)]
+                more.append(pa.array([k.decode("utf-8", "ignore") for k in less], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept", *["without_passages"] * bool(passage)])
 
-    shape = schema_of(docs) + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    shape = schema_of(docs) + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + ", without_passages string" * bool(passage)
     return keyed.join(found, [key, size], "left").select(*(f"`{n}`" for n in names), marks).mapInArrow(run, shape)
 
 
+#: Bytes of fifty words and more: passages of more words than that are caught whole.
+PASSAGE = 256
+
+
 def op2_suffix_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, for strings of 400 bytes."""
-    cut_docs = with_repeats_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return cut_docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every document, for strings of 400 bytes.
+
+    ``text`` is the text without passages of over fifty words that repeat: without strings of 256 bytes that do.
+    """
+    cut_docs = with_repeats_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), passage=PASSAGE)
+    return cut_docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("without_passages").alias("text"))
