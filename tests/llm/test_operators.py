@@ -147,7 +147,7 @@ def test_suffix_dedup_of_other_lengths(docs, length):
 @pytest.mark.parametrize("many", [64, 0])
 def test_suffix_dedup_matches_brute_force(docs, none, many, monkeypatch):
     plain = suffix.repeated_windows
-    monkeypatch.setattr(suffix, "repeated_windows", lambda t, n: plain(t, n, many=many))
+    monkeypatch.setattr(suffix, "repeated_windows", lambda t, n, covered=None: plain(t, n, covered, many=many))
     rows = docs.collect()
     got = suffix.op2_suffix_dedup(docs).collect()
     short = [b[3] for b in removed_brute([raw(r) for r in rows], suffix.PASSAGE)]

@@ -27,18 +27,22 @@ from .common import components, durable, unused
 FAN = 4
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 4096):
+        bits = np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """SimHash of the word shingles (repeats included) of a UTF-8 text; no words: zero."""
     words = text.lower().split()  # of bytes: only A-Z change and only ASCII white space separates
     if not words:
         return 0
     parts = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.array(list(map(xxhash.xxh64_intdigest, parts, repeat(seed))), dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 4096):
-        bits = np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array(list(map(xxhash.xxh64_intdigest, parts, repeat(seed))), dtype="<u8"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

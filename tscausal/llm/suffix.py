@@ -46,7 +46,7 @@ def gram_of(length: int) -> int:
     """Bytes of the anchor gram for windows of ``length``: about half, so that anchors stay sparse and rarely agree by chance."""
     if length < 128:
         raise ValueError("length must be at least 128")
-    return 192 if length >= 384 else 128 if length >= 320 else 64
+    return 192 if length >= 384 else 128 if length >= 256 else 64
 
 
 def gram_hashes(data: np.ndarray, gram: int = 192) -> np.ndarray:
@@ -190,24 +190,32 @@ def suffix_arrays(texts: list[bytes], bucket: list[int] | np.ndarray) -> tuple[n
     out[0] = order[0]
     own_marks = marks[1:]
     out[np.repeat(begin - np.concatenate([[0], np.cumsum(low_end - begin)[:-1]]), low_end - begin) + np.arange(len(own_marks))] = own_marks
+    free[begin] = low_end
     step = begin.copy()
     while len(step):
-        here = out[step]
-        a, b = first_child[here], first_child[here + 1]
-        width = b - a
-        children = by_after[np.repeat(a - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())]
-        to = group[children]
-        out[free[to]] = children
-        free[to] += 1
-        step = step + 1
+        # All places of a group that are filled so far are final; they emit together, in order.
+        ready = np.minimum(free[group[out[step]]], end) - step
+        here = out[np.repeat(step - (np.cumsum(ready) - ready), ready) + np.arange(ready.sum())]
+        a, width = first_child[here], first_child[here + 1] - first_child[here]
+        total = int(width.sum())
+        if total:
+            children = by_after[np.repeat(a - (np.cumsum(width) - width), width) + np.arange(total)]
+            to = group[children]
+            by = np.argsort(to, kind="stable")
+            children, to = children[by], to[by]
+            head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            many = np.diff(np.concatenate([head, [total]]))
+            out[np.repeat(free[to[head]] - head, many) + np.arange(total)] = children
+            free[to[head]] += many
+        step = step + ready
         live = step < end
         if not live.all():
             step, end = step[live], end[live]
     return out[1:], of
 
 
-def repeated(segments: list[bytes], windows: list[int], weights: list[int], bucket: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    """For each of ``lengths`` (ascending) and each segment, at which of its first ``windows`` places a string of that length starts that occurs more than once in its bucket (by ``weights``)."""
+def repeated(segments: list[bytes], windows: list[int], weights: list[int], bucket: list[int], length: int) -> list[np.ndarray]:
+    """For each segment, which of its first ``windows`` windows occur more than once in its bucket (by ``weights``)."""
     order, _ = suffix_arrays(segments, bucket)
     lens = np.array([len(t) for t in segments], dtype=np.int64)
     starts = np.cumsum(lens + 1) - lens
@@ -223,23 +231,18 @@ def repeated(segments: list[bytes], windows: list[int], weights: list[int], buck
     words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel()
     a, b = order[:-1], order[1:]
     same = np.asarray(bucket)[of[a]] == np.asarray(bucket)[of[b]] if len(order) else np.zeros(0, bool)
-    left, before, out = np.flatnonzero(same), 0, []
-    ends = starts + lens
-    for length in lengths:
-        left = left[np.minimum(ends[of[a[left]]] - a[left], ends[of[b[left]]] - b[left]) >= length]
-        for at in [*range(before, length - 7, 8), length - 8]:
-            left = left[words[a[left] + at] == words[b[left] + at]]
-            if not len(left):
-                break
-        before = length // 8 * 8
-        alike = np.zeros(max(len(order) - 1, 0), bool)
-        alike[left] = True
-        cls = np.concatenate([[0], np.cumsum(~alike)]) if len(order) else np.zeros(0, np.int64)
-        total = np.bincount(cls, np.array(weights)[of[order]]) if len(order) else np.zeros(0)
-        hit = np.zeros(len(places), bool)
-        hit[number[order]] = total[cls] > 1
-        out.append(np.split(hit, np.cumsum(count)[:-1]) if len(count) else [])
-    return out
+    left = np.flatnonzero(same)
+    for at in [*range(0, length - 7, 8), length - 8]:
+        left = left[words[a[left] + at] == words[b[left] + at]]
+        if not len(left):
+            break
+    alike = np.zeros(max(len(order) - 1, 0), bool)
+    alike[left] = True
+    cls = np.concatenate([[0], np.cumsum(~alike)]) if len(order) else np.zeros(0, np.int64)
+    total = np.bincount(cls, np.array(weights)[of[order]]) if len(order) else np.zeros(0)
+    hit = np.zeros(len(places), bool)
+    hit[number[order]] = total[cls] > 1
+    return np.split(hit, np.cumsum(count)[:-1]) if len(count) else []
 
 
 def spans(hits: np.ndarray) -> list[tuple[int, int]]:
@@ -272,10 +275,10 @@ def print_of(data: bytes, windows: int) -> int:
     return xxhash.xxh3_64_intdigest(data, windows) - (1 << 63)
 
 
-def _pieces(texts: DataFrame, length: int, reach: int) -> DataFrame:
+def _pieces(texts: DataFrame, length: int) -> DataFrame:
     """(key, size, firsts, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
 
-    A segment goes ``reach`` bytes on from the start of its last window, or to the end of the text. Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
+    Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
     """
 
     def run(batches):
@@ -288,7 +291,7 @@ def _pieces(texts: DataFrame, length: int, reach: int) -> DataFrame:
                     held += len(texts[to])
                     to += 1
                 found = runs(texts[at:to], length)
-                prints = [xxhash.xxh3_64_intdigest(texts[at + i][s : s + n - 1 + reach], d) for i, s, n, d, _ in found]
+                prints = [xxhash.xxh3_64_intdigest(texts[at + i][s : s + n - 1 + length], d) for i, s, n, d, _ in found]
                 rows: dict[tuple, list[int]] = {}
                 for (i, first, n, d, gram), p in zip(found, prints):
                     rows.setdefault((i, n, d, gram, p), []).append(first)
@@ -301,7 +304,7 @@ def _pieces(texts: DataFrame, length: int, reach: int) -> DataFrame:
     return texts.where(F.col("size") >= length).select("key", "size", "text").mapInArrow(run, "key long, size int, firsts array<int>, windows int, ahead int, gram long, segment long")
 
 
-def _segments(texts: DataFrame, wanted: DataFrame, length: int, reach: int, many: int, band: int) -> DataFrame:
+def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band: int) -> DataFrame:
     """(route, gram, segment, weight, shift, windows, bytes): the bytes of each wanted segment, once or more often."""
 
     def run(batches):
@@ -313,7 +316,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, reach: int, many
                 for p in parts:
                     s, n, d = p["first"], p["windows"], p["ahead"]
                     if p["different"] <= many:
-                        data = text[s : s + n - 1 + reach]
+                        data = text[s : s + n - 1 + length]
                         rows.append((p["gram"], print_of(data, n), p["gram"], p["segment"], p["weight"], 0, n, data))
                         continue
                     anchor = s + d
@@ -322,7 +325,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, reach: int, many
                         a, b = max(s, anchor - low - band + 1), min(s + n - 1, anchor - low)
                         core = text[anchor - low : anchor - low - band + 1 + length]
                         route = xxhash.xxh3_64_intdigest(core, low) - (1 << 63)
-                        data = text[a : b + reach]
+                        data = text[a : b + length]
                         rows.append((route, print_of(data, b - a + 1), p["gram"], p["segment"], p["weight"], a - s, b - a + 1, data))
                 held += 1
                 if len(rows) > 20000:
@@ -335,74 +338,111 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, reach: int, many
     return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, print long, gram long, segment long, weight long, shift int, windows int, bytes binary")
 
 
-def _sorted_out(segments: DataFrame, lengths: tuple[int, ...], batch_bytes: int = 1 << 20) -> DataFrame:
-    """(route, print, level, first, windows): runs of repeated strings of each length, from one suffix array per route.
+def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20, held_bytes: int = 1 << 23) -> DataFrame:
+    """(route, print, first, windows): runs of repeated windows, from one suffix array per route.
 
-    ``segments`` has (route, print, weight, windows, bytes), every different text of a route once.
+    ``segments`` has (route, print, weight, windows, bytes), every different text of a route once. Arrays of like sizes
+    are built together, as those in lock step take as long as the largest.
     """
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        routes = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in rows))}
-        load = np.bincount([routes[x[0]] for x in rows], [x[2] for x in rows])
-        kept = [x for x in rows if load[routes[x[0]]] > 1]
-        numbers = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in kept))}
-        levels = repeated([x[4] for x in kept], [x[3] for x in kept], [x[2] for x in kept], [numbers[x[0]] for x in kept], lengths) if kept else []
-        out = [(x[0], x[1], level, a, n) for level, hits in enumerate(levels) for x, hit in zip(kept, hits) for a, n in spans(hit)]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ((),) * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["route", "print", "level", "first", "windows"])
+        numbers = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in rows))}
+        hits = repeated([x[4] for x in rows], [x[3] for x in rows], [x[2] for x in rows], [numbers[x[0]] for x in rows], length)
+        out = [(x[0], x[1], a, n) for x, hit in zip(rows, hits) for a, n in spans(hit)]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["route", "print", "first", "windows"])
+
+    def packed(routes: list[list[tuple]]):
+        rows, held = [], 0
+        for route in sorted((r for r in routes if sum(x[2] for x in r) > 1), key=lambda r: sum(len(x[4]) for x in r)):
+            rows += route
+            held += sum(len(x[4]) for x in route)
+            if held >= batch_bytes:
+                yield solve(rows)
+                rows, held = [], 0
+        if rows:
+            yield solve(rows)
 
     def run(batches):
-        rows, held, last = [], 0, None
+        routes, held = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != last and held >= batch_bytes:
-                    yield solve(rows)
-                    rows, held = [], 0
-                rows.append(row)
+                if not routes or row[0] != routes[-1][0][0]:
+                    if held >= held_bytes:
+                        yield from packed(routes)
+                        routes, held = [], 0
+                    routes.append([])
+                routes[-1].append(row)
                 held += len(row[-1])
-                last = row[0]
-        if rows:
-            yield solve(rows)
+        yield from packed(routes)
+
+    return segments.select("route", "print", "weight", "windows", "bytes").repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, print long, first int, windows int")
+
 
-    return segments.select("route", "print", "weight", "windows", "bytes").repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, print long, level int, first int, windows int")
+def _open(shared: DataFrame, covered: DataFrame, length: int) -> DataFrame:
+    """Those of ``shared`` whose gram has a window outside the spans of ``covered`` (key, size, spans)."""
+    outside = F.exists("firsts", lambda f: ~F.exists(F.coalesce("spans", F.array()), lambda x: (x["a"] <= f) & (f + F.col("windows") - 1 + length <= x["b"])))
+    grams = durable(shared.join(covered, ["key", "size"], "left").where(outside).select("gram").distinct())
+    found = durable(shared.join(grams, "gram"))
+    release(shared, grams)
+    return found
 
 
-def repeated_windows(texts: DataFrame, lengths: tuple[int, ...], many: int = 64, band: int = 16) -> DataFrame:
-    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated strings of the shortest of ``lengths``.
+def repeated_windows(texts: DataFrame, length: int = 400, covered: DataFrame | None = None, many: int = 64, band: int = 16) -> DataFrame:
+    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated windows.
 
-    ``runs`` are (first, windows, level): neighbouring starts of repeated strings of ``lengths[level]`` bytes.
+    With ``covered`` (key, size, spans of bytes a to b), windows that lie in such a span may be left out.
     """
-    length, reach = lengths[0], lengths[-1]
-    if length < gram_of(length) + band or list(lengths) != sorted(set(lengths)):
-        raise ValueError(f"lengths must ascend from at least {gram_of(length) + band}")
-    pieces = durable(_pieces(texts, length, reach))
+    if length < gram_of(length) + band:
+        raise ValueError(f"length must be at least {gram_of(length) + band}")
+    pieces = durable(_pieces(texts, length))
     grams = pieces.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
     grams = durable(grams.select("gram", "equal"))
     shared = durable(pieces.join(grams, "gram"))
     release(pieces, grams)
+    if covered is not None:
+        shared = _open(shared, covered, length)
     differing = durable(shared.where("NOT equal").groupBy("gram", "segment").agg(F.sum(F.size("firsts")).alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead")).alias("at")))
     kinds = durable(differing.groupBy("gram").agg(F.count("*").alias("different")))
     part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
     placed = durable(differing.join(kinds, "gram").select("at.key", "at.size", part.alias("part")))
     wanted = placed.groupBy("key", "size").agg(F.collect_list("part").alias("parts"))
-    segments = durable(_segments(texts, wanted, length, reach, many, band))
+    segments = durable(_segments(texts, wanted, length, many, band))
     # Equal bytes of a route enter the array once, with their number; their owners stay outside and are met by a join.
     once = segments.groupBy("route", "print").agg(F.sum("weight").alias("weight"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
-    found = durable(_sorted_out(once, lengths))
-    hits = F.transform("hits", lambda x: F.struct((F.col("shift") + x["first"]).alias("first"), x["windows"].alias("windows"), x["level"].alias("level")))
-    by_route = durable(found.groupBy("route", "print").agg(F.collect_list(F.struct("first", "windows", "level")).alias("hits")))
-    owned = segments.select("route", "print", "gram", "segment", "shift").join(by_route, ["route", "print"]).select("gram", "segment", hits.alias("hits"))
+    found = durable(_sorted_out(once, length))
+    by_print = durable(found.groupBy("route", "print").agg(F.collect_list(F.struct("first", "windows")).alias("hits")))
+    hits = F.transform("hits", lambda x: F.struct((F.col("shift") + x["first"]).alias("first"), x["windows"].alias("windows")))
+    owned = segments.select("route", "print", "gram", "segment", "shift").join(by_print, ["route", "print"]).select("gram", "segment", hits.alias("hits"))
     # The runs of a segment join as one list, so that a piece stays one row however many there are.
     lists = durable(owned.groupBy("gram", "segment").agg(F.flatten(F.collect_list("hits")).alias("hits")))
-    release(differing, kinds, placed, segments, found, by_route)
-    fits = [F.struct(F.col("f").alias("first"), F.least("windows", F.col("size") - F.col("f") - n + 1).alias("windows"), F.lit(level).alias("level")) for level, n in enumerate(lengths)]
-    whole = shared.where("equal").select("key", "size", "windows", F.explode("firsts").alias("f")).select("key", "size", F.filter(F.array(*fits), lambda x: x["windows"] > 0).alias("runs"))
+    release(differing, kinds, placed, segments, found, by_print)
+    whole = shared.where("equal").select("key", "size", F.transform("firsts", lambda f: F.struct(f.alias("first"), F.col("windows"))).alias("runs"))
     back = shared.where("NOT equal").select("key", "size", "firsts", "gram", "segment").distinct().join(lists, ["gram", "segment"])  # copies of a text once
-    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct((f + x["first"]).alias("first"), x["windows"].alias("windows"), x["level"].alias("level")))))
+    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct((f + x["first"]).alias("first"), x["windows"].alias("windows")))))
     every = whole.union(back.select("key", "size", moved.alias("runs")))
-    found = durable(every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs")))
+    result = durable(every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs")))
     release(shared, lists)
-    return found
+    return result
+
+
+def repeated_spans(texts: DataFrame, length: int, covered: DataFrame | None = None) -> DataFrame:
+    """(key, size, spans) for the texts that hold repeated windows: the maximal spans of bytes a to b, with those of ``covered``."""
+    found = repeated_windows(texts, length, covered)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for runs, old in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                pieces = [(r["first"], r["windows"]) for r in runs or ()] + [(s["a"], s["b"] - s["a"] + 1 - length) for s in old or ()]
+                out.append([{"a": a, "b": b} for a, b in merged(pieces, length)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "size", "spans"])
+
+    old = covered if covered is not None else texts.sparkSession.createDataFrame([], "key long, size int, spans array<struct<a:int,b:int>>")
+    both = found.join(old, ["key", "size"], "full" if covered is not None else "left").select("key", "size", "runs", "spans")
+    result = durable(both.mapInArrow(run, "key long, size int, spans array<struct<a:int,b:int>>"))
+    release(found)
+    return result
 
 
 def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False, passage: int | None = None) -> DataFrame:
@@ -410,36 +450,38 @@ def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False,
 
     With ``as_text`` kept is a string instead; bytes of characters that a cut went through are left out. With
     ``passage``, a smaller number of bytes, a column ``without_passages`` follows: the text without the bytes of any
-    repeated string of that length, from the same suffix arrays.
+    repeated string of that length. Its suffix arrays are only built for what the longer strings leave open.
 
     Texts are UTF-8 bytes, null is empty. Repeated rows are documents of their own, so each is the other's repeat.
     Texts shorter than ``length`` keep everything. The new columns take the place of columns of these names. A text is
     read whole by one task and must be shorter than 2^30 bytes.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "without_passages")
-    key, size, marks = (unused(docs, x) for x in ("_key", "_size", "_runs"))
+    key, size, gaps, more_gaps = (unused(docs, x) for x in ("_key", "_size", "_spans", "_more"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
     texts = keyed.select(F.col(key).alias("key"), F.col(size).alias("size"), text.alias("text"))
-    lengths = tuple(sorted({length, passage or length}))
-    found = repeated_windows(texts, lengths).select(F.col("key").alias(key), F.col("size").alias(size), F.col("runs").alias(marks))
-    names, level = docs.columns, lengths.index(length)
+    spans = repeated_spans(texts, length).withColumnRenamed("spans", gaps)
+    if passage:
+        wider = repeated_spans(texts, passage, spans.withColumnRenamed(gaps, "spans"))
+        spans = wider.withColumnRenamed("spans", more_gaps).join(spans, ["key", "size"], "left")
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-            runs = batch.column(batch.schema.get_field_index(marks)).to_pylist()
-            gone = [merged([(r["first"], r["windows"]) for r in x or () if r["level"] == level], length) for x in runs]
+            of = lambda c: [[(x["a"], x["b"]) for x in s or ()] for s in batch.column(batch.schema.get_field_index(c)).to_pylist()]  # noqa: E731, B023
+            gone = of(gaps)
             kept = [cut(t, g) for t, g in zip(texts, gone)]
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             more = [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], dtype=np.int64)), pa.array([len(g) for g in gone], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
             if passage:
-                less = [cut(t, merged([(r["first"], r["windows"]) for r in x or () if r["level"] == 0], passage)) for t, x in zip(texts, runs)]
-                more.append(pa.array([k.decode("utf-8", "ignore") for k in less], pa.string()))
+                more.append(pa.array([cut(t, g).decode("utf-8", "ignore") for t, g in zip(texts, of(more_gaps))], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept", *["without_passages"] * bool(passage)])
 
     shape = schema_of(docs) + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + ", without_passages string" * bool(passage)
-    return keyed.join(found, [key, size], "left").select(*(f"`{n}`" for n in names), marks).mapInArrow(run, shape)
+    joined = keyed.join(spans.withColumnsRenamed({"key": key, "size": size}), [key, size], "left")
+    return joined.select(*(f"`{n}`" for n in names), gaps, *[more_gaps] * bool(passage)).mapInArrow(run, shape)
 
 
 #: Bytes of fifty words and more: passages of more words than that are caught whole.
