@@ -14,6 +14,8 @@ from tscausal.llm import decontaminate, html, licenses, lm, mixing, quality, sim
 from tscausal.llm.common import components
 from tscausal.llm.gru import Gru
 
+from .conftest import prose
+
 
 def raw(row):
     return (row.text or "").encode()
@@ -82,10 +84,10 @@ def leaks(spark, docs, texts):
 def test_decontamination_finds_exact_and_edited_items_only(leaks):
     items, docs = leaks
     got = decontaminate.op1_decontaminate(docs, items).collect()
-    known = {r.item_id: b" ".join(decontaminate.words_of(r.text)) for r in items.collect() if r.item_id is not None and r.text and len(r.text.split()) >= 8}
+    known = {r.item_id: decontaminate.normal(r.text) for r in items.collect() if r.item_id is not None and r.text}
     want = Counter()
     for d in docs.collect():
-        joined = b" ".join(decontaminate.words_of(d.text))[:20_000]
+        joined = decontaminate.normal(d.text)[:20_000]
         for i, t in known.items():
             if joined and edit_brute(t[:40], joined[:4000]) <= 16 and decontaminate.edit_distance_in(t, joined) <= 0.2 * len(t):
                 want[d.doc_id, i] += 1
@@ -93,6 +95,31 @@ def test_decontamination_finds_exact_and_edited_items_only(leaks):
     assert sum(n for (d, _), n in want.items() if d is not None and d >= 1000) == 10
 
 
+def test_decontamination_finds_nine_tenths_of_what_is_near_enough():
+    rng, noise = random.Random(21), np.random.default_rng(4)
+    items = [(i, prose(rng, rng.randint(4, 60))) for i in range(150)] + [(900, "ünïcödé" * 9), (901, "short item"), (902, "a")]
+    matcher = decontaminate.Matcher(items)
+    for kind in ("s", "i", "d", "sid"):
+        for share in (0, 0.05, 0.1, 0.15, 0.19):
+            texts = [decontaminate.normal(t) for _, t in items]
+            planted = [decontaminate.edited(t, int(share * len(t)), noise, kind).decode("utf-8", "ignore") for t in texts]
+            got = matcher.matches([f"{prose(rng, 90)} {p} {prose(rng, 60)}" for p in planted])
+            near = [n for n, t in enumerate(texts) if len(t) >= 16 and decontaminate.edit_distance_in(t, decontaminate.normal(planted[n])) <= int(0.2 * len(t)) or share == 0]
+            found = sum(any(m[0] == items[n][0] for m in got[n]) for n in near)
+            assert found >= 0.9 * len(near), (kind, share, found, len(near))
+    block = items[40][1].split()
+    moved = " ".join([*block[:5], *prose(rng, len(block) // 8).split(), *block[5:]])  # a run of words inside
+    assert any(m[0] == 40 for m in matcher.matches([moved])[0])
+
+
+def test_decontamination_keeps_columns_of_clashing_names(spark, leaks):
+    items, docs = leaks
+    named = docs.withColumnsRenamed({"doc_id": "item_id"}).selectExpr("*", "1 AS edits", "'x' AS benchmark_matches")
+    found = decontaminate.with_matches(named, items.selectExpr("*", "0 AS doc_id"), named.columns)
+    assert found.columns == ["item_id", "text", "edits", "benchmark_matches"]
+    assert found.where("size(benchmark_matches) > 0").count() == decontaminate.op1_decontaminate(docs, items).select("doc_id").distinct().count()
+
+
 def test_decontamination_in_blocks_and_empty(spark, leaks, none):
     items, docs = leaks
     one = decontaminate.op1_decontaminate(docs, items).collect()
@@ -147,7 +174,7 @@ def test_suffix_dedup_of_other_lengths(docs, length):
 @pytest.mark.parametrize("many", [64, 0])
 def test_suffix_dedup_matches_brute_force(docs, none, many, monkeypatch):
     plain = suffix.repeated_windows
-    monkeypatch.setattr(suffix, "repeated_windows", lambda t, n, covered=None: plain(t, n, covered, many=many))
+    monkeypatch.setattr(suffix, "repeated_windows", lambda t, n: plain(t, n, many=many))
     rows = docs.collect()
     got = suffix.op2_suffix_dedup(docs).collect()
     short = [b[3] for b in removed_brute([raw(r) for r in rows], suffix.PASSAGE)]

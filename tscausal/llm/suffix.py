@@ -21,7 +21,7 @@ bytes between them, and these bytes' hash is the finer route.
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ def gram_of(length: int) -> int:
 
 
 def gram_hashes(data: np.ndarray, gram: int = 192) -> np.ndarray:
-    """Hash of the ``gram`` (64, 128 or 192) bytes from each place (places without so many: of what follows, with zeros)."""
+    """Hash of the ``gram`` (192, or 64 and its doubles up to 512) bytes from each place (places without so many: of what follows, with zeros)."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(gram + 8, np.uint8)])
     eight = np.zeros(n + gram, dtype="<u8")
@@ -60,11 +60,10 @@ def gram_hashes(data: np.ndarray, gram: int = 192) -> np.ndarray:
         eight[i::8][: len(part)] = part[: len(eight[i::8])]
     now, size = _spread(eight * _ODD[0]), 8
     levels = {}
-    for odd in (_ODD[1], _ODD[2], _ODD[4], _ODD[5]):
-        if size * 2 <= gram:
-            now = _spread(now[:-size] * odd + now[size:])
-            size *= 2
-            levels[size] = now
+    while size * 2 <= gram:
+        now = _spread(now[:-size] * _ODD[(1, 2, 4, 5)[size.bit_length() % 4]] + now[size:])
+        size *= 2
+        levels[size] = now
     return _spread(levels[64][:n] * _ODD[1] + levels[128][64 : 64 + n]) if gram == 192 else levels[gram][:n]
 
 
@@ -215,7 +214,10 @@ def suffix_arrays(texts: list[bytes], bucket: list[int] | np.ndarray) -> tuple[n
 
 
 def repeated(segments: list[bytes], windows: list[int], weights: list[int], bucket: list[int], length: int) -> list[np.ndarray]:
-    """For each segment, which of its first ``windows`` windows occur more than once in its bucket (by ``weights``)."""
+    """For each segment, which of its first ``windows`` windows occur more than once in its bucket (by ``weights``).
+
+    Neighbours in the suffix array are equal windows if the 64-bit hashes of their first and last bytes are.
+    """
     order, _ = suffix_arrays(segments, bucket)
     lens = np.array([len(t) for t in segments], dtype=np.int64)
     starts = np.cumsum(lens + 1) - lens
@@ -227,15 +229,14 @@ def repeated(segments: list[bytes], windows: list[int], weights: list[int], buck
     number = np.zeros(len(of), np.int64)
     number[places] = np.arange(len(places))
     order = order[of[order] >= 0]
-    data = np.frombuffer(b"\0" + b"\0".join(segments) + b"\0" * 9, np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel()
+    data = np.frombuffer(b"\0" + b"\0".join(segments) + b"\0", np.uint8)
+    part = 1 << (length.bit_length() - 1)
+    prints = gram_hashes(data, part)
     a, b = order[:-1], order[1:]
     same = np.asarray(bucket)[of[a]] == np.asarray(bucket)[of[b]] if len(order) else np.zeros(0, bool)
     left = np.flatnonzero(same)
-    for at in [*range(0, length - 7, 8), length - 8]:
-        left = left[words[a[left] + at] == words[b[left] + at]]
-        if not len(left):
-            break
+    for at in (0, length - part):  # the two parts overlap and make up the window
+        left = left[prints[a[left] + at] == prints[b[left] + at]]
     alike = np.zeros(max(len(order) - 1, 0), bool)
     alike[left] = True
     cls = np.concatenate([[0], np.cumsum(~alike)]) if len(order) else np.zeros(0, np.int64)
@@ -275,58 +276,64 @@ def print_of(data: bytes, windows: int) -> int:
     return xxhash.xxh3_64_intdigest(data, windows) - (1 << 63)
 
 
-def _pieces(texts: DataFrame, length: int) -> DataFrame:
-    """(key, size, firsts, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
+def _pieces(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(key, size, length, firsts, times, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
 
-    Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
+    Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts, and
+    so are copies of a text in a batch, ``times`` of them. Grams of different lengths have different numbers.
     """
 
     def run(batches):
         for batch in batches:
-            keys, sizes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
+            copies = Counter(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            texts = dict(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).cast(pa.binary())))
+            named = list(texts)
             at = 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= 1 << 20):
-                    held += len(texts[to])
-                    to += 1
-                found = runs(texts[at:to], length)
-                prints = [xxhash.xxh3_64_intdigest(texts[at + i][s : s + n - 1 + length], d) for i, s, n, d, _ in found]
-                rows: dict[tuple, list[int]] = {}
-                for (i, first, n, d, gram), p in zip(found, prints):
-                    rows.setdefault((i, n, d, gram, p), []).append(first)
-                heads = list(rows)
-                of = np.array([x[0] for x in heads], dtype=np.int64) + at
-                columns = [pa.array(keys[of]), pa.array(sizes[of]), pa.array(list(rows.values()), pa.list_(pa.int32())), *(pa.array([x[j] for x in heads], pa.int32()) for j in (1, 2)), pa.array([x[3] for x in heads], pa.int64()), pa.array(np.array([x[4] for x in heads], dtype=np.uint64).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "size", "firsts", "windows", "ahead", "gram", "segment"])
-                at = to
-
-    return texts.where(F.col("size") >= length).select("key", "size", "text").mapInArrow(run, "key long, size int, firsts array<int>, windows int, ahead int, gram long, segment long")
-
-
-def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band: int) -> DataFrame:
-    """(route, gram, segment, weight, shift, windows, bytes): the bytes of each wanted segment, once or more often."""
+            while at < len(named):
+                some, held = [], 0
+                while at < len(named) and (not some or held + named[at][1] <= 1 << 20):
+                    some.append(texts[named[at]].as_py())
+                    held += named[at][1]
+                    at += 1
+                first_name = at - len(some)
+                for length in lengths:
+                    rows: dict[tuple, list[int]] = {}
+                    for i, first, n, d, gram in runs(some, length):
+                        p = xxhash.xxh3_64_intdigest(some[i][first : first + n - 1 + length], d)
+                        rows.setdefault((i, n, d, gram, p), []).append(first)
+                    heads = list(rows)
+                    names = [named[first_name + x[0]] for x in heads]
+                    grams = np.array([x[3] for x in heads], dtype=np.int64) ^ length
+                    columns = [pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int32()), pa.array(np.full(len(heads), length, np.int32)), pa.array(list(rows.values()), pa.list_(pa.int32())), pa.array([copies[x] for x in names], pa.int32()), *(pa.array([x[j] for x in heads], pa.int32()) for j in (1, 2)), pa.array(grams), pa.array(np.array([x[4] for x in heads], dtype=np.uint64).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "size", "length", "firsts", "times", "windows", "ahead", "gram", "segment"])
+
+    shape = "key long, size int, length int, firsts array<int>, times int, windows int, ahead int, gram long, segment long"
+    return texts.where(F.col("size") >= min(lengths)).select("key", "size", "text").mapInArrow(run, shape)
+
+
+def _segments(texts: DataFrame, wanted: DataFrame, many: int, band: int) -> DataFrame:
+    """(route, print, length, gram, segment, weight, shift, windows, bytes): the bytes of each wanted segment, once or more often."""
 
     def run(batches):
-        names = ["route", "print", "gram", "segment", "weight", "shift", "windows", "bytes"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["route", "print", "length", "gram", "segment", "weight", "shift", "windows", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             rows, held = [], 0
             for text, parts in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for p in parts:
-                    s, n, d = p["first"], p["windows"], p["ahead"]
+                    s, n, d, length = p["first"], p["windows"], p["ahead"], p["length"]
                     if p["different"] <= many:
                         data = text[s : s + n - 1 + length]
-                        rows.append((p["gram"], print_of(data, n), p["gram"], p["segment"], p["weight"], 0, n, data))
+                        rows.append((p["gram"], print_of(data, n), length, p["gram"], p["segment"], p["weight"], 0, n, data))
                         continue
                     anchor = s + d
                     for low in range((d - n + 1) // band * band, d + 1, band):
                         # Windows that start low .. low + band - 1 bytes before the anchor share what lies between.
                         a, b = max(s, anchor - low - band + 1), min(s + n - 1, anchor - low)
                         core = text[anchor - low : anchor - low - band + 1 + length]
-                        route = xxhash.xxh3_64_intdigest(core, low) - (1 << 63)
+                        route = xxhash.xxh3_64_intdigest(core, low) - (1 << 63) ^ length
                         data = text[a : b + length]
-                        rows.append((route, print_of(data, b - a + 1), p["gram"], p["segment"], p["weight"], a - s, b - a + 1, data))
+                        rows.append((route, print_of(data, b - a + 1), length, p["gram"], p["segment"], p["weight"], a - s, b - a + 1, data))
                 held += 1
                 if len(rows) > 20000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
@@ -335,30 +342,31 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     once = texts.groupBy("key", "size").agg(F.first("text").alias("text"))
-    return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, print long, gram long, segment long, weight long, shift int, windows int, bytes binary")
+    return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, print long, length int, gram long, segment long, weight long, shift int, windows int, bytes binary")
 
 
-def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20, held_bytes: int = 1 << 23) -> DataFrame:
+def _sorted_out(segments: DataFrame, batch_bytes: int = 1 << 20, held_bytes: int = 1 << 23) -> DataFrame:
     """(route, print, first, windows): runs of repeated windows, from one suffix array per route.
 
-    ``segments`` has (route, print, weight, windows, bytes), every different text of a route once. Arrays of like sizes
-    are built together, as those in lock step take as long as the largest.
+    ``segments`` has (route, print, length, weight, windows, bytes), every different text of a route once. Arrays of
+    like sizes are built together, as those in lock step take as long as the largest.
     """
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         numbers = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in rows))}
-        hits = repeated([x[4] for x in rows], [x[3] for x in rows], [x[2] for x in rows], [numbers[x[0]] for x in rows], length)
+        hits = repeated([x[5] for x in rows], [x[4] for x in rows], [x[3] for x in rows], [numbers[x[0]] for x in rows], rows[0][2])
         out = [(x[0], x[1], a, n) for x, hit in zip(rows, hits) for a, n in spans(hit)]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["route", "print", "first", "windows"])
 
     def packed(routes: list[list[tuple]]):
         rows, held = [], 0
-        for route in sorted((r for r in routes if sum(x[2] for x in r) > 1), key=lambda r: sum(len(x[4]) for x in r)):
-            rows += route
-            held += sum(len(x[4]) for x in route)
-            if held >= batch_bytes:
+        size = {id(r): sum(len(x[5]) for x in r) for r in routes}
+        for route in sorted((r for r in routes if sum(x[3] for x in r) > 1), key=lambda r: (r[0][2], size[id(r)])):
+            if held >= batch_bytes or rows and rows[0][2] != route[0][2]:
                 yield solve(rows)
                 rows, held = [], 0
+            rows += route
+            held += size[id(route)]
         if rows:
             yield solve(rows)
 
@@ -375,113 +383,82 @@ def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20, he
                 held += len(row[-1])
         yield from packed(routes)
 
-    return segments.select("route", "print", "weight", "windows", "bytes").repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, print long, first int, windows int")
-
-
-def _open(shared: DataFrame, covered: DataFrame, length: int) -> DataFrame:
-    """Those of ``shared`` whose gram has a window outside the spans of ``covered`` (key, size, spans)."""
-    outside = F.exists("firsts", lambda f: ~F.exists(F.coalesce("spans", F.array()), lambda x: (x["a"] <= f) & (f + F.col("windows") - 1 + length <= x["b"])))
-    grams = durable(shared.join(covered, ["key", "size"], "left").where(outside).select("gram").distinct())
-    found = durable(shared.join(grams, "gram"))
-    release(shared, grams)
-    return found
+    return segments.select("route", "print", "length", "weight", "windows", "bytes").repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, print long, first int, windows int")
 
 
-def repeated_windows(texts: DataFrame, length: int = 400, covered: DataFrame | None = None, many: int = 64, band: int = 16) -> DataFrame:
-    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated windows.
+def repeated_windows(texts: DataFrame, lengths: tuple[int, ...], many: int = 64, band: int = 16) -> DataFrame:
+    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated strings of ``lengths``.
 
-    With ``covered`` (key, size, spans of bytes a to b), windows that lie in such a span may be left out.
+    ``runs`` are (length, first, windows): neighbouring starts of repeated strings.
     """
-    if length < gram_of(length) + band:
-        raise ValueError(f"length must be at least {gram_of(length) + band}")
-    pieces = durable(_pieces(texts, length))
-    grams = pieces.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
+    if min(lengths) < gram_of(min(lengths)) + band:
+        raise ValueError(f"length must be at least {gram_of(min(lengths)) + band}")
+    pieces = durable(_pieces(texts, lengths))
+    number = F.sum(F.size("firsts") * F.col("times"))
+    grams = pieces.groupBy("gram").agg(number.alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
     grams = durable(grams.select("gram", "equal"))
     shared = durable(pieces.join(grams, "gram"))
     release(pieces, grams)
-    if covered is not None:
-        shared = _open(shared, covered, length)
-    differing = durable(shared.where("NOT equal").groupBy("gram", "segment").agg(F.sum(F.size("firsts")).alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead")).alias("at")))
+    differing = durable(shared.where("NOT equal").groupBy("gram", "segment").agg(number.alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead", "length")).alias("at")))
     kinds = durable(differing.groupBy("gram").agg(F.count("*").alias("different")))
-    part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
+    part = F.struct("at.first", "at.windows", "at.ahead", "at.length", "gram", "segment", "weight", "different")
     placed = durable(differing.join(kinds, "gram").select("at.key", "at.size", part.alias("part")))
     wanted = placed.groupBy("key", "size").agg(F.collect_list("part").alias("parts"))
-    segments = durable(_segments(texts, wanted, length, many, band))
+    segments = durable(_segments(texts, wanted, many, band))
     # Equal bytes of a route enter the array once, with their number; their owners stay outside and are met by a join.
-    once = segments.groupBy("route", "print").agg(F.sum("weight").alias("weight"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
-    found = durable(_sorted_out(once, length))
+    once = segments.groupBy("route", "print").agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("length", "windows", "bytes")))
+    found = durable(_sorted_out(once))
     by_print = durable(found.groupBy("route", "print").agg(F.collect_list(F.struct("first", "windows")).alias("hits")))
     hits = F.transform("hits", lambda x: F.struct((F.col("shift") + x["first"]).alias("first"), x["windows"].alias("windows")))
     owned = segments.select("route", "print", "gram", "segment", "shift").join(by_print, ["route", "print"]).select("gram", "segment", hits.alias("hits"))
     # The runs of a segment join as one list, so that a piece stays one row however many there are.
     lists = durable(owned.groupBy("gram", "segment").agg(F.flatten(F.collect_list("hits")).alias("hits")))
     release(differing, kinds, placed, segments, found, by_print)
-    whole = shared.where("equal").select("key", "size", F.transform("firsts", lambda f: F.struct(f.alias("first"), F.col("windows"))).alias("runs"))
-    back = shared.where("NOT equal").select("key", "size", "firsts", "gram", "segment").distinct().join(lists, ["gram", "segment"])  # copies of a text once
-    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct((f + x["first"]).alias("first"), x["windows"].alias("windows")))))
+    row = ["length", "firsts", "gram", "segment"]
+    whole = shared.where("equal").select("key", "size", F.transform("firsts", lambda f: F.struct("length", f.alias("first"), F.col("windows"))).alias("runs"))
+    back = shared.where("NOT equal").select("key", "size", *row).distinct().join(lists, ["gram", "segment"])  # copies of a text once
+    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct("length", (f + x["first"]).alias("first"), x["windows"].alias("windows")))))
     every = whole.union(back.select("key", "size", moved.alias("runs")))
     result = durable(every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs")))
     release(shared, lists)
     return result
 
 
-def repeated_spans(texts: DataFrame, length: int, covered: DataFrame | None = None) -> DataFrame:
-    """(key, size, spans) for the texts that hold repeated windows: the maximal spans of bytes a to b, with those of ``covered``."""
-    found = repeated_windows(texts, length, covered)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for runs, old in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                pieces = [(r["first"], r["windows"]) for r in runs or ()] + [(s["a"], s["b"] - s["a"] + 1 - length) for s in old or ()]
-                out.append([{"a": a, "b": b} for a, b in merged(pieces, length)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "size", "spans"])
-
-    old = covered if covered is not None else texts.sparkSession.createDataFrame([], "key long, size int, spans array<struct<a:int,b:int>>")
-    both = found.join(old, ["key", "size"], "full" if covered is not None else "left").select("key", "size", "runs", "spans")
-    result = durable(both.mapInArrow(run, "key long, size int, spans array<struct<a:int,b:int>>"))
-    release(found)
-    return result
-
-
 def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False, passage: int | None = None) -> DataFrame:
     """``docs`` with four more columns: n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
     With ``as_text`` kept is a string instead; bytes of characters that a cut went through are left out. With
-    ``passage``, a smaller number of bytes, a column ``without_passages`` follows: the text without the bytes of any
-    repeated string of that length. Its suffix arrays are only built for what the longer strings leave open.
+    ``passage``, another number of bytes, a column ``without_passages`` follows: the text without the bytes of any
+    repeated string of that length, found in the same pass.
 
     Texts are UTF-8 bytes, null is empty. Repeated rows are documents of their own, so each is the other's repeat.
     Texts shorter than ``length`` keep everything. The new columns take the place of columns of these names. A text is
     read whole by one task and must be shorter than 2^30 bytes.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "without_passages")
-    key, size, gaps, more_gaps = (unused(docs, x) for x in ("_key", "_size", "_spans", "_more"))
+    key, size, marks = (unused(docs, x) for x in ("_key", "_size", "_runs"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
     texts = keyed.select(F.col(key).alias("key"), F.col(size).alias("size"), text.alias("text"))
-    spans = repeated_spans(texts, length).withColumnRenamed("spans", gaps)
-    if passage:
-        wider = repeated_spans(texts, passage, spans.withColumnRenamed(gaps, "spans"))
-        spans = wider.withColumnRenamed("spans", more_gaps).join(spans, ["key", "size"], "left")
+    found = repeated_windows(texts, tuple(sorted({length, passage or length}))).toDF(key, size, marks)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-            of = lambda c: [[(x["a"], x["b"]) for x in s or ()] for s in batch.column(batch.schema.get_field_index(c)).to_pylist()]  # noqa: E731, B023
-            gone = of(gaps)
+            runs = batch.column(batch.schema.get_field_index(marks)).to_pylist()
+            of = lambda n: [merged([(r["first"], r["windows"]) for r in x or () if r["length"] == n], n) for x in runs]  # noqa: E731, B023
+            gone = of(length)
             kept = [cut(t, g) for t, g in zip(texts, gone)]
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             more = [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], dtype=np.int64)), pa.array([len(g) for g in gone], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
             if passage:
-                more.append(pa.array([cut(t, g).decode("utf-8", "ignore") for t, g in zip(texts, of(more_gaps))], pa.string()))
+                more.append(pa.array([cut(t, g).decode("utf-8", "ignore") for t, g in zip(texts, of(passage))], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept", *["without_passages"] * bool(passage)])
 
     shape = schema_of(docs) + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + ", without_passages string" * bool(passage)
-    joined = keyed.join(spans.withColumnsRenamed({"key": key, "size": size}), [key, size], "left")
-    return joined.select(*(f"`{n}`" for n in names), gaps, *[more_gaps] * bool(passage)).mapInArrow(run, shape)
+    return keyed.join(found, [key, size], "left").select(*(f"`{n}`" for n in names), marks).mapInArrow(run, shape)
 
 
 #: Bytes of fifty words and more: passages of more words than that are caught whole.
