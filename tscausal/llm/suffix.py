@@ -21,8 +21,6 @@ bytes between them, and these bytes' hash is the finer route.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,37 +44,50 @@ def gram_of(length: int) -> int:
     """Bytes of the anchor gram for windows of ``length``: about half, so that anchors stay sparse and rarely agree by chance."""
     if length < 128:
         raise ValueError("length must be at least 128")
-    return 192 if length >= 384 else 128 if length >= 256 else 64
+    return 192 if length >= 384 else 96 if length >= 256 else 64
 
 
-def gram_hashes(data: np.ndarray, gram: int = 192) -> np.ndarray:
-    """Hash of the ``gram`` (192, or 64 and its doubles up to 512) bytes from each place (places without so many: of what follows, with zeros)."""
+def ladder(data: np.ndarray, top: int) -> dict[int, np.ndarray]:
+    """By size (8 and its doubles up to ``top``) the hash of so many bytes from each place; zeros follow the data."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(gram + 8, np.uint8)])
-    eight = np.zeros(n + gram, dtype="<u8")
+    padded = np.concatenate([data, np.zeros(2 * top + 8, np.uint8)])
+    eight = np.zeros(n + 2 * top, dtype="<u8")
     for i in range(8):
         part = padded[i : i + (len(eight) - i + 7) // 8 * 8]
         part = part[: len(part) // 8 * 8].view("<u8")
         eight[i::8][: len(part)] = part[: len(eight[i::8])]
     now, size = _spread(eight * _ODD[0]), 8
-    levels = {}
-    while size * 2 <= gram:
+    levels = {8: now}
+    while size * 2 <= top:
         now = _spread(now[:-size] * _ODD[(1, 2, 4, 5)[size.bit_length() % 4]] + now[size:])
         size *= 2
         levels[size] = now
-    return _spread(levels[64][:n] * _ODD[1] + levels[128][64 : 64 + n]) if gram == 192 else levels[gram][:n]
+    return levels
+
+
+def gram_hashes(levels: dict[int, np.ndarray], n: int, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes (two or three times a power of two) from each of ``n`` places."""
+    if gram in levels:
+        return levels[gram][:n]
+    half = gram // 3
+    return _spread(levels[half][:n] * _ODD[1] + levels[2 * half][half : half + n])
 
 
-def runs(texts: list[bytes], length: int) -> list[tuple[int, int, int, int, int]]:
-    """(text, first window, windows, anchor's distance from the first, gram) for every run of windows with one anchor."""
+def runs(texts: list[bytes], length: int, levels: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, anchor's distance from the first, gram, segment) of every run of windows with one anchor, as columns.
+
+    ``segment`` is a hash of the bytes of all windows of the run and of the distance.
+    """
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < length:
-        return []
+    n = len(data)
+    if n < length:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    levels = levels or ladder(data, 128)
     ends = np.repeat(np.cumsum(sizes), sizes)
     gram = gram_of(length)
-    grams = gram_hashes(data, gram)
-    least = (grams & ~_PLACES) | np.arange(len(data), dtype=np.uint64)
+    grams = gram_hashes(levels, n, gram)
+    least = (grams & ~_PLACES) | np.arange(n, dtype=np.uint64)
     width, step = length - gram + 1, 1
     fill = np.full(width, ~np.uint64(0))
     while step * 2 <= width:
@@ -84,17 +95,22 @@ def runs(texts: list[bytes], length: int) -> list[tuple[int, int, int, int, int]
         step *= 2
     rest = width - step
     least = np.minimum(least, np.concatenate([least[rest:], fill[:rest]]))
-    at = np.flatnonzero(ends - np.arange(len(data)) >= length)
+    at = np.flatnonzero(ends - np.arange(n) >= length)
     if not len(at):
-        return []
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     anchor = (least[at] & _PLACES).astype(np.int64)
     cuts = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(at) != 1)) + 1
     first = np.concatenate([[0], cuts])
     count = np.diff(np.concatenate([first, [len(at)]]))
     begin, anchor = at[first], anchor[first]
+    ahead, size = anchor - begin, count - 1 + length
+    segment = _spread(ahead.astype(np.uint64) * _ODD[1] + size.astype(np.uint64))
+    for k in range(int(-(-size.max() // 128))):  # overlapping parts that cover the segment
+        more = np.flatnonzero(size > 128 * k)
+        segment[more] = _spread(segment[more] * _ODD[5] + levels[128][begin[more] + np.minimum(128 * k, size[more] - 128)])
     starts = np.cumsum(sizes) - sizes
     of = np.searchsorted(starts + sizes, begin, side="right")
-    return list(zip(of.tolist(), (begin - starts[of]).tolist(), count.tolist(), (anchor - begin).tolist(), grams[anchor].view(np.int64).tolist()))
+    return of, begin - starts[of], count, ahead, grams[anchor].view(np.int64), segment.view(np.int64)
 
 
 def suffix_arrays(texts: list[bytes], bucket: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +247,7 @@ def repeated(segments: list[bytes], windows: list[int], weights: list[int], buck
     order = order[of[order] >= 0]
     data = np.frombuffer(b"\0" + b"\0".join(segments) + b"\0", np.uint8)
     part = 1 << (length.bit_length() - 1)
-    prints = gram_hashes(data, part)
+    prints = ladder(data, part)[part]
     a, b = order[:-1], order[1:]
     same = np.asarray(bucket)[of[a]] == np.asarray(bucket)[of[b]] if len(order) else np.zeros(0, bool)
     left = np.flatnonzero(same)
@@ -277,37 +293,32 @@ def print_of(data: bytes, windows: int) -> int:
 
 
 def _pieces(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(key, size, length, firsts, times, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
+    """(key, size, length, firsts, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
 
-    Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts, and
-    so are copies of a text in a batch, ``times`` of them. Grams of different lengths have different numbers.
+    Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
+    Grams of different lengths have different numbers.
     """
 
     def run(batches):
         for batch in batches:
-            copies = Counter(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            texts = dict(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).cast(pa.binary())))
-            named = list(texts)
+            keys, sizes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary())
             at = 0
-            while at < len(named):
-                some, held = [], 0
-                while at < len(named) and (not some or held + named[at][1] <= 1 << 20):
-                    some.append(texts[named[at]].as_py())
-                    held += named[at][1]
-                    at += 1
-                first_name = at - len(some)
+            while at < len(keys):
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), 1 << 20, side="right")))
+                some = texts.slice(at, to - at).to_pylist()
+                levels = ladder(np.frombuffer(b"".join(some), np.uint8), 128)
                 for length in lengths:
-                    rows: dict[tuple, list[int]] = {}
-                    for i, first, n, d, gram in runs(some, length):
-                        p = xxhash.xxh3_64_intdigest(some[i][first : first + n - 1 + length], d)
-                        rows.setdefault((i, n, d, gram, p), []).append(first)
-                    heads = list(rows)
-                    names = [named[first_name + x[0]] for x in heads]
-                    grams = np.array([x[3] for x in heads], dtype=np.int64) ^ length
-                    columns = [pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int32()), pa.array(np.full(len(heads), length, np.int32)), pa.array(list(rows.values()), pa.list_(pa.int32())), pa.array([copies[x] for x in names], pa.int32()), *(pa.array([x[j] for x in heads], pa.int32()) for j in (1, 2)), pa.array(grams), pa.array(np.array([x[4] for x in heads], dtype=np.uint64).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "size", "length", "firsts", "times", "windows", "ahead", "gram", "segment"])
-
-    shape = "key long, size int, length int, firsts array<int>, times int, windows int, ahead int, gram long, segment long"
+                    of, first, windows, ahead, gram, segment = runs(some, length, levels)
+                    by = np.lexsort((first, segment, gram, of))
+                    of, first, windows, ahead, gram, segment = (x[by] for x in (of, first, windows, ahead, gram, segment))
+                    head = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(gram) != 0) | (np.diff(segment) != 0)])) if len(of) else of
+                    firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([head, [len(of)]]).astype(np.int32)), pa.array(first.astype(np.int32)))
+                    name = of[head] + at
+                    columns = [pa.array(keys[name]), pa.array(sizes[name]), pa.array(np.full(len(head), length, np.int32)), firsts, *(pa.array(x[head].astype(np.int32)) for x in (windows, ahead)), pa.array(gram[head] ^ length), pa.array(segment[head])]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "size", "length", "firsts", "windows", "ahead", "gram", "segment"])
+                at = to
+
+    shape = "key long, size int, length int, firsts array<int>, windows int, ahead int, gram long, segment long"
     return texts.where(F.col("size") >= min(lengths)).select("key", "size", "text").mapInArrow(run, shape)
 
 
@@ -393,8 +404,8 @@ def repeated_windows(texts: DataFrame, lengths: tuple[int, ...], many: int = 64,
     """
     if min(lengths) < gram_of(min(lengths)) + band:
         raise ValueError(f"length must be at least {gram_of(min(lengths)) + band}")
-    pieces = durable(_pieces(texts, lengths))
-    number = F.sum(F.size("firsts") * F.col("times"))
+    pieces = durable(_pieces(texts, lengths), "lz4_raw")
+    number = F.sum(F.size("firsts"))
     grams = pieces.groupBy("gram").agg(number.alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
     grams = durable(grams.select("gram", "equal"))
