@@ -73,7 +73,7 @@ def gram_hashes(levels: dict[int, np.ndarray], n: int, gram: int) -> np.ndarray:
     return _spread(levels[half][:n] * _ODD[1] + levels[2 * half][half : half + n])
 
 
-def runs(texts: list[bytes], length: int, levels: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor's distance from the first, gram, segment) of every run of windows with one anchor, as columns.
 
     ``segment`` is a hash of the bytes of all windows of the run and of the distance.
@@ -83,7 +83,7 @@ def runs(texts: list[bytes], length: int, levels: dict[int, np.ndarray] | None =
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    levels = levels or ladder(data, 128)
+    levels = ladder(data, 128)
     ends = np.repeat(np.cumsum(sizes), sizes)
     gram = gram_of(length)
     grams = gram_hashes(levels, n, gram)
@@ -292,11 +292,10 @@ def print_of(data: bytes, windows: int) -> int:
     return xxhash.xxh3_64_intdigest(data, windows) - (1 << 63)
 
 
-def _pieces(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(key, size, length, firsts, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
+def _pieces(texts: DataFrame, length: int) -> DataFrame:
+    """(key, size, firsts, windows, ahead, gram, segment): the runs of each text; segment is the hash of its bytes.
 
     Runs of one text with equal bytes (a text that repeats itself has very many) are one row with all their starts.
-    Grams of different lengths have different numbers.
     """
 
     def run(batches):
@@ -306,45 +305,43 @@ def _pieces(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
             while at < len(keys):
                 to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), 1 << 20, side="right")))
                 some = texts.slice(at, to - at).to_pylist()
-                levels = ladder(np.frombuffer(b"".join(some), np.uint8), 128)
-                for length in lengths:
-                    of, first, windows, ahead, gram, segment = runs(some, length, levels)
-                    by = np.lexsort((first, segment, gram, of))
-                    of, first, windows, ahead, gram, segment = (x[by] for x in (of, first, windows, ahead, gram, segment))
-                    head = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(gram) != 0) | (np.diff(segment) != 0)])) if len(of) else of
-                    firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([head, [len(of)]]).astype(np.int32)), pa.array(first.astype(np.int32)))
-                    name = of[head] + at
-                    columns = [pa.array(keys[name]), pa.array(sizes[name]), pa.array(np.full(len(head), length, np.int32)), firsts, *(pa.array(x[head].astype(np.int32)) for x in (windows, ahead)), pa.array(gram[head] ^ length), pa.array(segment[head])]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "size", "length", "firsts", "windows", "ahead", "gram", "segment"])
+                of, first, windows, ahead, gram, segment = runs(some, length)
+                by = np.lexsort((first, segment, gram, of))
+                of, first, windows, ahead, gram, segment = (x[by] for x in (of, first, windows, ahead, gram, segment))
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(gram) != 0) | (np.diff(segment) != 0)])) if len(of) else of
+                firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([head, [len(of)]]).astype(np.int32)), pa.array(first.astype(np.int32)))
+                name = of[head] + at
+                columns = [pa.array(keys[name]), pa.array(sizes[name]), firsts, *(pa.array(x[head].astype(np.int32)) for x in (windows, ahead)), pa.array(gram[head]), pa.array(segment[head])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "size", "firsts", "windows", "ahead", "gram", "segment"])
                 at = to
 
-    shape = "key long, size int, length int, firsts array<int>, windows int, ahead int, gram long, segment long"
-    return texts.where(F.col("size") >= min(lengths)).select("key", "size", "text").mapInArrow(run, shape)
+    shape = "key long, size int, firsts array<int>, windows int, ahead int, gram long, segment long"
+    return texts.where(F.col("size") >= length).select("key", "size", "text").mapInArrow(run, shape)
 
 
-def _segments(texts: DataFrame, wanted: DataFrame, many: int, band: int) -> DataFrame:
-    """(route, print, length, gram, segment, weight, shift, windows, bytes): the bytes of each wanted segment, once or more often."""
+def _segments(texts: DataFrame, wanted: DataFrame, length: int, many: int, band: int) -> DataFrame:
+    """(route, print, gram, segment, weight, shift, windows, bytes): the bytes of each wanted segment, once or more often."""
 
     def run(batches):
-        names = ["route", "print", "length", "gram", "segment", "weight", "shift", "windows", "bytes"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["route", "print", "gram", "segment", "weight", "shift", "windows", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             rows, held = [], 0
             for text, parts in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for p in parts:
-                    s, n, d, length = p["first"], p["windows"], p["ahead"], p["length"]
+                    s, n, d = p["first"], p["windows"], p["ahead"]
                     if p["different"] <= many:
                         data = text[s : s + n - 1 + length]
-                        rows.append((p["gram"], print_of(data, n), length, p["gram"], p["segment"], p["weight"], 0, n, data))
+                        rows.append((p["gram"], print_of(data, n), p["gram"], p["segment"], p["weight"], 0, n, data))
                         continue
                     anchor = s + d
                     for low in range((d - n + 1) // band * band, d + 1, band):
                         # Windows that start low .. low + band - 1 bytes before the anchor share what lies between.
                         a, b = max(s, anchor - low - band + 1), min(s + n - 1, anchor - low)
                         core = text[anchor - low : anchor - low - band + 1 + length]
-                        route = xxhash.xxh3_64_intdigest(core, low) - (1 << 63) ^ length
+                        route = xxhash.xxh3_64_intdigest(core, low) - (1 << 63)
                         data = text[a : b + length]
-                        rows.append((route, print_of(data, b - a + 1), length, p["gram"], p["segment"], p["weight"], a - s, b - a + 1, data))
+                        rows.append((route, print_of(data, b - a + 1), p["gram"], p["segment"], p["weight"], a - s, b - a + 1, data))
                 held += 1
                 if len(rows) > 20000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
@@ -353,31 +350,31 @@ def _segments(texts: DataFrame, wanted: DataFrame, many: int, band: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     once = texts.groupBy("key", "size").agg(F.first("text").alias("text"))
-    return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, print long, length int, gram long, segment long, weight long, shift int, windows int, bytes binary")
+    return once.join(wanted, ["key", "size"]).select("text", "parts").mapInArrow(run, "route long, print long, gram long, segment long, weight long, shift int, windows int, bytes binary")
 
 
-def _sorted_out(segments: DataFrame, batch_bytes: int = 1 << 20, held_bytes: int = 1 << 23) -> DataFrame:
+def _sorted_out(segments: DataFrame, length: int, batch_bytes: int = 1 << 20, held_bytes: int = 1 << 23) -> DataFrame:
     """(route, print, first, windows): runs of repeated windows, from one suffix array per route.
 
-    ``segments`` has (route, print, length, weight, windows, bytes), every different text of a route once. Arrays of
-    like sizes are built together, as those in lock step take as long as the largest.
+    ``segments`` has (route, print, weight, windows, bytes), every different text of a route once. Arrays of like sizes
+    are built together, as those in lock step take as long as the largest.
     """
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         numbers = {r: i for i, r in enumerate(dict.fromkeys(x[0] for x in rows))}
-        hits = repeated([x[5] for x in rows], [x[4] for x in rows], [x[3] for x in rows], [numbers[x[0]] for x in rows], rows[0][2])
+        hits = repeated([x[4] for x in rows], [x[3] for x in rows], [x[2] for x in rows], [numbers[x[0]] for x in rows], length)
         out = [(x[0], x[1], a, n) for x, hit in zip(rows, hits) for a, n in spans(hit)]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["route", "print", "first", "windows"])
 
     def packed(routes: list[list[tuple]]):
         rows, held = [], 0
-        size = {id(r): sum(len(x[5]) for x in r) for r in routes}
-        for route in sorted((r for r in routes if sum(x[3] for x in r) > 1), key=lambda r: (r[0][2], size[id(r)])):
-            if held >= batch_bytes or rows and rows[0][2] != route[0][2]:
-                yield solve(rows)
-                rows, held = [], 0
+        size = {id(r): sum(len(x[4]) for x in r) for r in routes}
+        for route in sorted((r for r in routes if sum(x[2] for x in r) > 1), key=lambda r: size[id(r)]):
             rows += route
             held += size[id(route)]
+            if held >= batch_bytes:
+                yield solve(rows)
+                rows, held = [], 0
         if rows:
             yield solve(rows)
 
@@ -394,82 +391,117 @@ def _sorted_out(segments: DataFrame, batch_bytes: int = 1 << 20, held_bytes: int
                 held += len(row[-1])
         yield from packed(routes)
 
-    return segments.select("route", "print", "length", "weight", "windows", "bytes").repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, print long, first int, windows int")
-
+    return segments.select("route", "print", "weight", "windows", "bytes").repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, print long, first int, windows int")
 
-def repeated_windows(texts: DataFrame, lengths: tuple[int, ...], many: int = 64, band: int = 16) -> DataFrame:
-    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated strings of ``lengths``.
 
-    ``runs`` are (length, first, windows): neighbouring starts of repeated strings.
-    """
-    if min(lengths) < gram_of(min(lengths)) + band:
-        raise ValueError(f"length must be at least {gram_of(min(lengths)) + band}")
-    pieces = durable(_pieces(texts, lengths), "lz4_raw")
-    number = F.sum(F.size("firsts"))
-    grams = pieces.groupBy("gram").agg(number.alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
+def _meeting(pieces: DataFrame) -> DataFrame:
+    """Those of ``pieces`` whose gram occurs twice, and whether all segments of the gram are equal."""
+    grams = pieces.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a hot gram's pieces can be split.
     grams = durable(grams.select("gram", "equal"))
-    shared = durable(pieces.join(grams, "gram"))
+    found = durable(pieces.join(grams, "gram"))
     release(pieces, grams)
-    differing = durable(shared.where("NOT equal").groupBy("gram", "segment").agg(number.alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead", "length")).alias("at")))
+    return found
+
+
+def repeated_windows(texts: DataFrame, length: int = 400, covered: DataFrame | None = None, many: int = 64, band: int = 16) -> DataFrame:
+    """(key, size, runs) for the texts (key long, size int, text; every row counts) that hold repeated windows.
+
+    With ``covered`` (key, size, spans of bytes a to b), runs of windows that lie in such spans take no part.
+    """
+    if length < gram_of(length) + band:
+        raise ValueError(f"length must be at least {gram_of(length) + band}")
+    shared = _meeting(durable(_pieces(texts, length), "lz4_raw"))
+    if covered is not None:
+        outside = F.exists("firsts", lambda f: ~F.exists(F.coalesce("spans", F.array()), lambda x: (x["a"] <= f) & (f + F.col("windows") - 1 + length <= x["b"])))
+        uncovered = durable(shared.join(covered, ["key", "size"], "left").where(outside).drop("equal", "spans"))
+        release(shared)
+        shared = _meeting(uncovered)
+    differing = durable(shared.where("NOT equal").groupBy("gram", "segment").agg(F.sum(F.size("firsts")).alias("weight"), F.min(F.struct("key", "size", F.col("firsts")[0].alias("first"), "windows", "ahead")).alias("at")))
     kinds = durable(differing.groupBy("gram").agg(F.count("*").alias("different")))
-    part = F.struct("at.first", "at.windows", "at.ahead", "at.length", "gram", "segment", "weight", "different")
+    part = F.struct("at.first", "at.windows", "at.ahead", "gram", "segment", "weight", "different")
     placed = durable(differing.join(kinds, "gram").select("at.key", "at.size", part.alias("part")))
     wanted = placed.groupBy("key", "size").agg(F.collect_list("part").alias("parts"))
-    segments = durable(_segments(texts, wanted, many, band))
+    segments = durable(_segments(texts, wanted, length, many, band))
     # Equal bytes of a route enter the array once, with their number; their owners stay outside and are met by a join.
-    once = segments.groupBy("route", "print").agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("length", "windows", "bytes")))
-    found = durable(_sorted_out(once))
+    once = segments.groupBy("route", "print").agg(F.sum("weight").alias("weight"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    found = durable(_sorted_out(once, length))
     by_print = durable(found.groupBy("route", "print").agg(F.collect_list(F.struct("first", "windows")).alias("hits")))
     hits = F.transform("hits", lambda x: F.struct((F.col("shift") + x["first"]).alias("first"), x["windows"].alias("windows")))
     owned = segments.select("route", "print", "gram", "segment", "shift").join(by_print, ["route", "print"]).select("gram", "segment", hits.alias("hits"))
     # The runs of a segment join as one list, so that a piece stays one row however many there are.
     lists = durable(owned.groupBy("gram", "segment").agg(F.flatten(F.collect_list("hits")).alias("hits")))
     release(differing, kinds, placed, segments, found, by_print)
-    row = ["length", "firsts", "gram", "segment"]
-    whole = shared.where("equal").select("key", "size", F.transform("firsts", lambda f: F.struct("length", f.alias("first"), F.col("windows"))).alias("runs"))
-    back = shared.where("NOT equal").select("key", "size", *row).distinct().join(lists, ["gram", "segment"])  # copies of a text once
-    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct("length", (f + x["first"]).alias("first"), x["windows"].alias("windows")))))
+    whole = shared.where("equal").select("key", "size", F.transform("firsts", lambda f: F.struct(f.alias("first"), F.col("windows"))).alias("runs"))
+    back = shared.where("NOT equal").select("key", "size", "firsts", "gram", "segment").distinct().join(lists, ["gram", "segment"])  # copies of a text once
+    moved = F.flatten(F.transform("firsts", lambda f: F.transform("hits", lambda x: F.struct((f + x["first"]).alias("first"), x["windows"].alias("windows")))))
     every = whole.union(back.select("key", "size", moved.alias("runs")))
     result = durable(every.groupBy("key", "size").agg(F.flatten(F.collect_set("runs")).alias("runs")))
     release(shared, lists)
     return result
 
 
+SPANS = "array<struct<a:int,b:int>>"
+
+
+def repeated_spans(texts: DataFrame, length: int, covered: DataFrame | None = None) -> DataFrame:
+    """(key, size, spans) for the texts that hold repeated windows: the maximal spans of their bytes a to b."""
+    found = repeated_windows(texts, length, covered)
+
+    def run(batches):
+        for batch in batches:
+            runs = batch.column(2)
+            cuts, flat = runs.offsets.to_numpy(), runs.flatten()
+            firsts, many = (flat.field(i).to_numpy() for i in (0, 1))
+            out = [[{"a": a, "b": b} for a, b in merged(list(zip(firsts[i:j].tolist(), many[i:j].tolist())), length)] for i, j in zip((cuts - cuts[0])[:-1], (cuts - cuts[0])[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "size", "spans"])
+
+    result = durable(found.mapInArrow(run, f"key long, size int, spans {SPANS}"))
+    release(found)
+    return result
+
+
 def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False, passage: int | None = None) -> DataFrame:
     """``docs`` with four more columns: n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
     With ``as_text`` kept is a string instead; bytes of characters that a cut went through are left out. With
-    ``passage``, another number of bytes, a column ``without_passages`` follows: the text without the bytes of any
-    repeated string of that length, found in the same pass.
+    ``passage``, a smaller number of bytes, a column ``without_passages`` follows: what is left when, besides, the
+    strings of that length go that repeat outside of what ``length`` removes.
 
     Texts are UTF-8 bytes, null is empty. Repeated rows are documents of their own, so each is the other's repeat.
     Texts shorter than ``length`` keep everything. The new columns take the place of columns of these names. A text is
     read whole by one task and must be shorter than 2^30 bytes.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "without_passages")
-    key, size, marks = (unused(docs, x) for x in ("_key", "_size", "_runs"))
+    key, size, gaps = (unused(docs, x) for x in ("_key", "_size", "_spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
     texts = keyed.select(F.col(key).alias("key"), F.col(size).alias("size"), text.alias("text"))
-    found = repeated_windows(texts, tuple(sorted({length, passage or length}))).toDF(key, size, marks)
+    found = repeated_spans(texts, length)
+    if passage:
+        short = repeated_spans(texts, passage, found)
+        both = found.select("key", "size", F.lit(0).alias("level"), "spans").union(short.select("key", "size", F.lit(1).alias("level"), "spans"))
+        lists = [F.flatten(F.collect_list(F.when(F.col("level") == level, F.col("spans")))).alias(f"s{level}") for level in (0, 1)]
+        found = durable(both.groupBy("key", "size").agg(*lists).select("key", "size", F.array("s0", "s1").alias("spans")))
+    else:
+        found = found.select("key", "size", F.array("spans").alias("spans"))
+    found = found.toDF(key, size, gaps)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-            runs = batch.column(batch.schema.get_field_index(marks)).to_pylist()
-            of = lambda n: [merged([(r["first"], r["windows"]) for r in x or () if r["length"] == n], n) for x in runs]  # noqa: E731, B023
-            gone = of(length)
-            kept = [cut(t, g) for t, g in zip(texts, gone)]
+            both = [[[(x["a"], x["b"]) for x in s] for s in g] if g else [[], []] for g in batch.column(batch.schema.get_field_index(gaps)).to_pylist()]
+            kept = [cut(t, g[0]) for t, g in zip(texts, both)]
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            more = [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], dtype=np.int64)), pa.array([len(g) for g in gone], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
+            more = [pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], dtype=np.int64)), pa.array([len(g[0]) for g in both], pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
             if passage:
-                more.append(pa.array([cut(t, g).decode("utf-8", "ignore") for t, g in zip(texts, of(passage))], pa.string()))
+                less = [cut(t, merged([(a, b - a) for a, b in g[0] + g[1]], 1)) if g[1] else k for t, g, k in zip(texts, both, kept)]
+                more.append(pa.array([k.decode("utf-8", "ignore") for k in less], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept", *["without_passages"] * bool(passage)])
 
     shape = schema_of(docs) + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + ", without_passages string" * bool(passage)
-    return keyed.join(found, [key, size], "left").select(*(f"`{n}`" for n in names), marks).mapInArrow(run, shape)
+    return keyed.join(found, [key, size], "left").select(*(f"`{n}`" for n in names), gaps).mapInArrow(run, shape)
 
 
 #: Bytes of fifty words and more: passages of more words than that are caught whole.
@@ -479,7 +511,8 @@ PASSAGE = 256
 def op2_suffix_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every document, for strings of 400 bytes.
 
-    ``text`` is the text without passages of over fifty words that repeat: without strings of 256 bytes that do.
+    ``text`` is what is left without passages of over fifty words that repeat, too: strings of 256 bytes that occur
+    again outside of what the 400-byte strings remove.
     """
     cut_docs = with_repeats_cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), passage=PASSAGE)
     return cut_docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("without_passages").alias("text"))
