@@ -394,18 +394,73 @@ def test_gru_gradients():
         assert (loss[0] - loss[1]) / 2e-6 == pytest.approx(g[at], rel=1e-4, abs=1e-9)
 
 
+def test_gru_gradients_through_time():
+    rng = np.random.default_rng(1)
+    model = Gru(np.array([5.0, 4, 3, 2, 2, 1, 1]), hidden=4, size=3)
+    model.p = {k: v.astype(np.float64) + rng.normal(0, 0.3, v.shape) for k, v in model.p.items()}
+    x, y, start = rng.integers(0, 7, (6, 3)), rng.integers(0, 7, (6, 3)), rng.normal(size=(3, 4))
+
+    def loss():
+        h, out = start, []
+        for t in range(6):
+            h = model.step(x[t], h * (x[t] != 0)[:, None])[0]
+            out.append(model.output(h, y[t])[0])
+        return -np.mean(out)
+
+    grads, last = model.slopes(x, y, start, 0)
+    full = np.zeros_like(model.p["E"])
+    full[grads.pop("rows")] = grads["E"]
+    for name, g in (grads | {"E": full}).items():
+        for _ in range(4):
+            at = tuple(rng.integers(s) for s in g.shape)
+            found = []
+            for e in (1e-6, -1e-6):
+                model.p[name][at] += e
+                found.append(loss())
+                model.p[name][at] -= e
+            assert (found[0] - found[1]) / 2e-6 == pytest.approx(g[at], rel=1e-4, abs=1e-8), name
+
+
 def test_gru_is_a_distribution_and_carries_state():
     model = Gru(np.array([5.0, 4, 3, 2, 1]), hidden=8, size=2)
     docs = [np.array([1, 2, 3] * 12 + [0]), np.array([0]), np.array([2, 2, 0])]
-    model.train(docs, end=0, streams=4, window=4, updates=300)
+    assert model.train(docs * 40, end=0, streams=4, window=4) == 41 * 40
     h = np.random.default_rng(1).normal(size=(1, 8)).astype(np.float32)
     assert sum(math.exp(model.output(h, np.array([k]))[0][0]) for k in range(5)) == pytest.approx(1, abs=1e-5)
     assert model.score(docs, 0, window=5) == pytest.approx(model.score(docs, 0, window=1000), rel=1e-5)
     assert model.score(docs, 0)[0] / 36 > -0.7
+    other = Gru(np.array([5.0, 4, 3, 2, 1]), hidden=8, size=2, seed=77)
+    other.unpack(model.packed())
+    assert other.score(docs, 0).tolist() == model.score(docs, 0).tolist()
+
+
+def test_gru_scores_match_a_plain_loop():
+    model = Gru(np.array([5.0, 4, 3, 2, 2, 1, 1]), hidden=5, size=3)
+    docs = [np.array([1, 4, 6, 2, 0]), np.array([0]), np.array([3, 3, 3, 0])]
+
+    def plain(doc):
+        p, h, last, total = {k: v.astype(float) for k, v in model.p.items()}, np.zeros(5), 0, 0.0
+        for y in doc:
+            a, u = p["E"][last] + p["b"], h @ p["U"]
+            z, r = 1 / (1 + np.exp(-a[:5] - u[:5])), 1 / (1 + np.exp(-a[5:10] - u[5:10]))
+            h = (1 - z) * np.tanh(a[10:] + r * u[10:]) + z * h
+            top, low = h @ p["Wc"] + p["bc"], h @ p["Wo"][y // 3] + p["bo"][y // 3]
+            total += top[y // 3] - np.log(np.exp(top).sum()) + low[y % 3] - np.log(np.exp(low).sum())
+            last = y
+        return total
+
+    assert model.score(docs, 0) == pytest.approx([plain(d) for d in docs], rel=1e-4)
+
+
+def test_lm_averages_in_a_tree(spark):
+    rows = [(n, np.full(3, v, "<f4").tobytes()) for n, v in ((1, 1.0), (2, 4.0), (3, 7.0), (4, 2.0))]
+    models = spark.createDataFrame(rows, "tokens long, flat binary").repartition(4)
+    for fan, most in ((2, 1), (16, 8)):
+        assert lm._averaged(models, fan, most) == pytest.approx([3.8] * 3)
 
 
 def test_lm_scores(docs, none):
-    rows, got = docs.collect(), lm.model_scores(docs, frequent_words=50, own_symbols=30, train_docs=50).collect()
+    rows, got = docs.collect(), lm.model_scores(docs, frequent_words=50, own_symbols=30).collect()
     held = lambda r: r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1
     words = lambda r: [*raw(r).lower().split(), "end"]
     counts = Counter(w for r in rows if not held(r) for w in words(r))

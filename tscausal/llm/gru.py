@@ -82,62 +82,95 @@ class Gru:
                 dh[mine] += d @ p["Wo"][k].T
         return out, dh
 
-    def train(self, docs: Iterable[np.ndarray], end: int, streams: int = 128, window: int = 16, updates: int = 600, rate: float = 0.006, clip: float = 1.0, seed: int = 6) -> None:
-        """Adam over ``updates`` windows of the documents (symbol arrays that close with ``end``), again and again."""
-        docs = [d for d in docs if len(d)]
-        if not docs:
-            return
-        random, n, p = np.random.default_rng(seed), self.hidden, self.p
-        first = {k: np.zeros_like(v) for k, v in p.items()}
-        second = {k: np.zeros_like(v) for k, v in p.items()}
-        done = 0
-        while done < updates:
-            y = np.concatenate([docs[i] for i in random.permutation(len(docs))])
-            y = np.tile(y, -(-streams * window // len(y)))
-            width = len(y) // streams
-            y = y[: width * streams].reshape(streams, width)
-            x = np.concatenate([np.full((streams, 1), end), y[:, :-1]], axis=1)  # the end mark also opens a document
-            h = np.zeros((streams, n), dtype=np.float32)
-            for at in range(0, width - window + 1, window):
-                if done == updates:
-                    break
-                done += 1
-                xs, ys = x[:, at : at + window].T, y[:, at : at + window].T
-                states, kept = [], []
-                for xt in xs:
-                    before = h * (xt != end)[:, None].astype(np.float32)
-                    h, *rest = self.step(xt, before)
-                    states.append(h)
-                    kept.append((before, *rest))
-                g: dict = {}
-                _, dout = self.output(np.concatenate(states), ys.ravel(), g)
-                dout = dout.reshape(window, streams, n)
-                dh, g["U"] = np.zeros_like(h), np.zeros_like(p["U"])
-                slopes = np.empty((window, streams, 3 * n), dtype=np.float32)
-                for t in range(window - 1, -1, -1):
-                    before, z, r, c, un = kept[t]
-                    d = dh + dout[t]
-                    dc = d * (1 - z) * (1 - c * c)
-                    da = slopes[t]
-                    da[:, :n] = d * (before - c) * z * (1 - z)
-                    da[:, n : 2 * n] = dc * un * r * (1 - r)
-                    da[:, 2 * n :] = dc
-                    du = np.concatenate([da[:, : 2 * n], dc * r], axis=1)
-                    g["U"] += before.T @ du
-                    dh = (d * z + du @ p["U"].T) * (xs[t] != end)[:, None]
-                flat, ids = slopes.reshape(-1, 3 * n), xs.ravel()
-                order = np.argsort(ids, kind="stable")
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-                g["E"] = np.zeros_like(p["E"])
-                g["E"][ids[order][heads]] = np.add.reduceat(flat[order], heads, axis=0)
-                g["b"] = flat.sum(axis=0)
-                norm = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
-                factor, pace = min(1.0, clip / (norm + 1e-9)), rate * min(1.0, 3 * (1 - (done - 1) / updates))
+    def slopes(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray]:
+        """Slopes of the mean loss of a window of streams: symbols ``x`` read and ``y`` expected (step, stream), and the state after it.
+
+        Backpropagation is truncated at the window; the state ``h`` runs on, but for documents that begin.
+        """
+        n, p = self.hidden, self.p
+        (window, streams), kind = x.shape, p["U"].dtype
+        open_ = (x != end)[:, :, None].astype(kind)
+        inputs = p["E"][x] + p["b"]
+        states, kept = np.empty((window, streams, n), kind), []
+        for t in range(window):
+            before = h * open_[t]
+            u = before @ p["U"]
+            gates = _sigmoid(inputs[t, :, : 2 * n] + u[:, : 2 * n])
+            z, r = gates[:, :n], gates[:, n:]
+            c = np.tanh(inputs[t, :, 2 * n :] + r * u[:, 2 * n :])
+            h = states[t] = c + z * (before - c)
+            kept.append((before, z, r, c, u[:, 2 * n :]))
+        g: dict = {}
+        _, dout = self.output(states.reshape(-1, n), y.ravel(), g)
+        dout = dout.reshape(window, streams, n)
+        dh, g["U"] = np.zeros((streams, n), kind), np.zeros_like(p["U"])
+        slopes = np.empty((window, streams, 3 * n), dtype=kind)
+        for t in range(window - 1, -1, -1):
+            before, z, r, c, un = kept[t]
+            d = dh + dout[t]
+            dc = d * (1 - z) * (1 - c * c)
+            da = slopes[t]
+            da[:, :n] = d * (before - c) * z * (1 - z)
+            da[:, n : 2 * n] = dc * un * r * (1 - r)
+            da[:, 2 * n :] = dc
+            du = np.concatenate([da[:, : 2 * n], dc * r], axis=1)
+            g["U"] += before.T @ du
+            dh = (d * z + du @ p["U"].T) * open_[t]
+        flat, ids = slopes.reshape(-1, 3 * n), x.ravel()
+        order = np.argsort(ids, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+        g["rows"], g["E"] = ids[order][heads], np.add.reduceat(flat[order], heads, axis=0)
+        g["b"] = flat.sum(axis=0)
+        return g, h
+
+    def train(self, docs: Iterable[np.ndarray], end: int, streams: int = 256, window: int = 16, rate: float = 0.05, clip: float = 1.0, held: int = 1 << 20) -> int:
+        """One reading of the documents (symbol arrays that close with ``end``), by Adagrad; returns the number of tokens.
+
+        They are laid side by side in parallel streams, some ``held`` tokens at a time.
+        """
+        memory = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
+        total, waiting, size = 0, [], 0
+
+        def read() -> None:
+            y = np.concatenate(waiting)
+            mine = max(1, min(streams, len(y) // window))
+            width = -(-len(y) // mine)
+            y = np.concatenate([y, np.full(width * mine - len(y), end)]).reshape(mine, width)
+            x = np.concatenate([np.full((mine, 1), end), y[:, :-1]], axis=1)  # the end mark also opens a document
+            h = np.zeros((mine, self.hidden), dtype=np.float32)
+            for at in range(0, width, window):
+                g, h = self.slopes(np.ascontiguousarray(x[:, at : at + window].T), np.ascontiguousarray(y[:, at : at + window].T), h, end)
+                rows = g.pop("rows")
+                norm = float(np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))
+                factor = min(1.0, clip / (norm + 1e-9))
                 for k, v in g.items():
                     v *= factor
-                    first[k] += 0.1 * (v - first[k])
-                    second[k] += 0.01 * (v * v - second[k])
-                    p[k] -= (pace / (1 - 0.9**done) * first[k] / (np.sqrt(second[k] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+                    if k == "E":
+                        memory[k][rows] += v * v
+                        self.p[k][rows] -= rate * v / np.sqrt(memory[k][rows])
+                    else:
+                        memory[k] += v * v
+                        self.p[k] -= rate * v / np.sqrt(memory[k])
+
+        for doc in docs:
+            if len(doc):
+                waiting.append(doc.astype(np.int64))
+                size += len(doc)
+                if size >= held:
+                    read()
+                    total, waiting, size = total + size, [], 0
+        if waiting:
+            read()
+        return total + size
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def unpack(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            self.p[k] = flat[at : at + self.p[k].size].astype(np.float32).reshape(self.p[k].shape)
+            at += self.p[k].size
 
     def score(self, docs: list[np.ndarray], end: int, window: int = 32, together: int = 2048) -> np.ndarray:
         """Natural log-probability of each whole document (symbol arrays that close with ``end``)."""

@@ -3,7 +3,11 @@
 Counts of all training tokens are gathered with Spark; the vocabulary grows with the corpus and is never collected.
 A bounded number of frequent words travels to the tasks, the rest of each document's words meets its counts in a join.
 
-The recurrent model predicts symbols: the most frequent words, the end mark, and classes of all other words by ending
+The recurrent model learns from all training documents: every task reads its own by truncated backpropagation from the
+same weights, the weights are averaged by tokens in a tree of tasks, and the next, larger share of the documents goes on
+from there. A corpus of few tokens is read several times over.
+
+The model predicts symbols: the most frequent words, the end mark, and classes of all other words by ending
 and trailing mark. A word of a class has its share of the class's mass in the base model, so every text has a
 probability, also with words that training never saw:
 log p(word) = log p(symbol | history) - log base(symbol) + log base(word).
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 from .gru import Gru
 
 TRAILING = b".,!#$%*&|;:"
@@ -118,68 +122,132 @@ class Symbols:
         return codes, float(self.log_at[at[known]].sum()), Counter(rest)
 
 
-def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: int = 3900, train_docs: int = 1500, hidden: int = 24) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
+def coded(docs: DataFrame, symbols: Symbols) -> DataFrame:
+    """(doc_id, held_out, key, size, n_tokens, known, base, plain, codes, token, times) of ``docs``: a row for each document, and one for each of its rare words.
 
-    Documents whose crc32(doc_id) mod 5 is 1 are held out of all learning; a null id is not held out. Null and empty
-    texts consist of the end token. Without training texts both models give an unseen token probability 1. The
-    recurrent model is fitted on at most ``train_docs`` whole training documents, chosen by a hash; the counts and the
-    masses of all symbols come from all of them. Equal texts get equal scores, repeated rows stay.
+    ``codes`` are the symbols as 16-bit numbers, ``plain`` the base log10 probability of the symbols.
     """
-    spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out().alias("held_out"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"))
-    training = docs.where("NOT held_out")
-    counts = durable(word_counts(training))
-    n_docs = training.count()
-    n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_tokens, n_types = n_words + n_docs, n_types + (n_docs > 0)
-    frequent = sorted(((bytes(r.token), r.c) for r in most_frequent(counts, frequent_words).collect()), key=lambda x: (-x[1], x[0]))
-    symbols = Symbols(frequent, own_symbols, class_masses(counts, [w for w, _ in frequent[:own_symbols]]), n_docs, n_tokens, n_types)
-    model = Gru(symbols.mass, hidden)
-    # The least hashes are found first, so that no task sends more texts than are used.
-    turned = training.select("text", F.xxhash64("key", "size").alias("turn"))
-    last = turned.select("turn").distinct().orderBy("turn").limit(train_docs).agg(F.max("turn")).first()[0]
-    sample = turned.where(F.col("turn") <= last).groupBy("turn").agg(F.first("text").alias("text")).orderBy("turn").collect() if last is not None else []
-    model.train([symbols.read(tokens_of(r.text.encode()))[0] for r in sample], symbols.end)
-    shipped = spark.sparkContext.broadcast((symbols, model))
-    names = ["doc_id", "held_out", "key", "size", "n_tokens", "known", "base", "gain", "token", "times"]
+    shipped = docs.sparkSession.sparkContext.broadcast(symbols)
+    names = ["doc_id", "held_out", "key", "size", "n_tokens", "known", "base", "plain", "codes", "token", "times"]
 
     def run(batches):
-        symbols, model = shipped.value
-        for batch in (b.slice(at, 5000) for b in batches for at in range(0, b.num_rows, 5000)):
+        symbols = shipped.value
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             keys, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            coded, n, known, base, gain, of, rare, times = ([] for _ in range(8))
+            codes, n, known, base, plain, of, rare, times = ([] for _ in range(8))
             for i, text in enumerate(batch.column(4).cast(pa.binary()).to_pylist()):
                 words = tokens_of(text)
-                codes, log, others = symbols.read(words)
+                mine, log, others = symbols.read(words)
                 of += [i] * len(others)
                 rare += others.keys()
                 times += others.values()
-                coded.append(codes)
-                n.append(len(codes))
+                codes.append(mine.astype("<u2").tobytes())
+                n.append(len(mine))
                 known.append(len(words) - others.total() + symbols.end_known)
                 base.append(log + symbols.end_base)
-                gain.append(-float(symbols.log_base[codes].sum()))
-            scored = np.array(gain) + model.score(coded, symbols.end) / np.log(10) if len(coded) and symbols.end_known else np.zeros(len(coded))
+                plain.append(float(symbols.log_base[mine].sum()))
             none, gap = [None] * len(of), [None] * len(n)
             columns = [
                 pa.array(batch.column(0).to_pylist() + none, pa.int64()), pa.array(batch.column(1).to_pylist() + none, pa.bool_()),
                 pa.array(keys + [keys[i] for i in of], pa.int64()), pa.array(sizes + [sizes[i] for i in of], pa.int32()),
-                pa.array(n + none, pa.int64()), pa.array(known + none, pa.int64()), pa.array(base + none, pa.float64()), pa.array(scored.tolist() + none, pa.float64()),
+                *(pa.array(x + none, kind) for x, kind in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (plain, pa.float64()), (codes, pa.binary()))),
                 pa.array(gap + rare, pa.binary()), pa.array(gap + times, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    shape = "doc_id long, held_out boolean, key long, size int, n_tokens long, known long, base double, gain double, token binary, times long"
-    passed = durable(docs.select("doc_id", "held_out", "key", "size", "text").mapInArrow(run, shape))
+    shape = "doc_id long, held_out boolean, key long, size int, n_tokens long, known long, base double, plain double, codes binary, token binary, times long"
+    return docs.select("doc_id", "held_out", "key", "size", "text").mapInArrow(run, shape)
+
+
+def _averaged(models: DataFrame, fan: int = 16, most: int = 8) -> np.ndarray | None:
+    """The mean of ``models`` (tokens, flat), weighted by tokens, through a tree of tasks; at most ``most`` rows reach the driver."""
+
+    def add(batches):
+        total, flat = 0, 0.0
+        for batch in batches:
+            for n, bytes_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total, flat = total + n, flat + n * np.frombuffer(bytes_, "<f4").astype(np.float64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(flat / total).astype("<f4").tobytes()], pa.binary())], ["tokens", "flat"])
+
+    models = durable(models)
+    n = models.count()
+    while n > most:
+        n, last = -(-n // fan), models
+        models = durable(last.repartition(n).mapInArrow(add, "tokens long, flat binary"))
+        release(last)
+    rows = sorted(((r.tokens, bytes(r.flat)) for r in models.collect()), reverse=True)
+    release(models)
+    total = sum(n for n, _ in rows)
+    return sum(n * np.frombuffer(f, "<f4").astype(np.float64) for n, f in rows) / total if total else None
+
+
+def fit(training: DataFrame, model: Gru, end: int, n_tokens: int, shares: tuple[int, ...] = (1, 3, 12), least_tokens: int = 4_000_000) -> None:
+    """Fits ``model`` to all of ``training`` (codes), share after share; a corpus under ``least_tokens`` is read as often as makes that many."""
+    times = -(-least_tokens // max(n_tokens, 1))
+    shares = shares if times == 1 else (sum(shares),)
+    spark, low = training.sparkSession, 0
+    for share in shares:
+        shipped = spark.sparkContext.broadcast(model)
+
+        def run(batches, shipped=shipped):
+            mine = Gru.__new__(Gru)
+            mine.__dict__ = shipped.value.__dict__ | {"p": {k: v.copy() for k, v in shipped.value.p.items()}}
+            docs = (np.frombuffer(x, "<u2") for batch in batches for x in batch.column(0).to_pylist())
+            if times > 1:
+                kept = list(docs)
+                docs = (kept[i] for t in range(times) for i in np.random.default_rng(t).permutation(len(kept)))
+            if tokens := mine.train(docs, end):
+                yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([mine.packed().astype("<f4").tobytes()], pa.binary())], ["tokens", "flat"])
+
+        part = F.pmod(F.xxhash64("key", "size", F.lit(9)), F.lit(sum(shares)))
+        flat = _averaged(training.where((part >= low) & (part < low + share)).select("codes").mapInArrow(run, "tokens long, flat binary"))
+        if flat is not None:
+            model.unpack(flat)
+        low += share
+
+
+def model_scores(docs: DataFrame, frequent_words: int = 100_000, own_symbols: int = 3900, hidden: int = 32) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
+
+    Documents whose crc32(doc_id) mod 5 is 1 are held out of all learning; a null id is not held out. Null and empty
+    texts consist of the end token, very long ones are read whole. Without training texts both models give an unseen
+    token probability 1. Counts and the recurrent model are learned from all training documents, repeated rows as often
+    as they stand. Equal texts get equal scores.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out().alias("held_out"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"))
+    training = docs.where("NOT held_out")
+    counts = durable(word_counts(training))
+    n_docs = training.count()
+    n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_tokens, n_types = n_words + n_docs, n_types + (n_docs > 0)
+    frequent = sorted(((bytes(r.token), r.c) for r in most_frequent(counts, frequent_words).collect()), key=lambda x: (-x[1], x[0]))
+    symbols = Symbols(frequent, own_symbols, class_masses(counts, [w for w, _ in frequent[:own_symbols]]), n_docs, n_tokens, n_types)
+    passed = durable(coded(docs, symbols))
     rows, rare = passed.where("token IS NULL").drop("token", "times"), passed.where("token IS NOT NULL").select("key", "size", "token", "times")
+    model = Gru(symbols.mass, hidden)
+    if n_docs:
+        fit(rows.where("NOT held_out"), model, symbols.end, n_tokens)
+    shipped = spark.sparkContext.broadcast(model)
+    end, names = symbols.end, ["doc_id", "held_out", "key", "size", "n_tokens", "known", "base", "gain"]
+
+    def run(batches):
+        for batch in (b.slice(at, 5000) for b in batches for at in range(0, b.num_rows, 5000)):
+            codes = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column(8).to_pylist()]
+            gain = shipped.value.score(codes, end) / np.log(10) - batch.column(7).to_numpy() if n_docs else np.zeros(len(codes))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(gain)], names)
+
+    shape = "doc_id long, held_out boolean, key long, size int, n_tokens long, known long, base double, gain double"
+    rows = durable(rows.select(*names[:7], "plain", "codes").mapInArrow(run, shape))
     met = rare.join(counts, "token", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / symbols.total)
     found = met.groupBy("key", "size").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
     # Copies of a text have sent their rare words each; every copy gets its part.
     copies = rows.groupBy("key", "size").agg(F.count("*").alias("copies"))
-    found = found.join(copies, ["key", "size"]).select("key", "size", (F.col("more") / F.col("copies")).alias("more"), F.expr("more_known div copies").alias("more_known"))
+    found = durable(found.join(copies, ["key", "size"]).select("key", "size", (F.col("more") / F.col("copies")).alias("more"), F.expr("more_known div copies").alias("more_known")))
+    release(passed, counts)
     rows = rows.join(found, ["key", "size"], "left").withColumn("base_score", F.col("base") + F.coalesce("more", F.lit(0.0)))
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 

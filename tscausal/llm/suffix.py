@@ -21,13 +21,19 @@ bytes between them, and these bytes' hash is the finer route.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, release, schema_of, unused
+from . import common
+from .common import release, schema_of, unused
+
+#: Tables that are read once or twice and then deleted: cheap to write rather than small.
+durable = partial(common.durable, codec="lz4_raw")
 
 _PLACES = np.uint64((1 << 30) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -411,7 +417,7 @@ def repeated_windows(texts: DataFrame, length: int = 400, covered: DataFrame | N
     """
     if length < gram_of(length) + band:
         raise ValueError(f"length must be at least {gram_of(length) + band}")
-    shared = _meeting(durable(_pieces(texts, length), "lz4_raw"))
+    shared = _meeting(durable(_pieces(texts, length)))
     if covered is not None:
         outside = F.exists("firsts", lambda f: ~F.exists(F.coalesce("spans", F.array()), lambda x: (x["a"] <= f) & (f + F.col("windows") - 1 + length <= x["b"])))
         uncovered = durable(shared.join(covered, ["key", "size"], "left").where(outside).drop("equal", "spans"))
