@@ -479,6 +479,7 @@ PAGES = [
     ("<article><header><h1>Head</h1><span>by me</span></header><p>one<aside>ad</aside>two</p><section class='comments'><p>no</p></section></article>", "Head\none\ntwo"),
     ("<div class=\"site-header\">X</div><div id=content><p>a &lt;b&gt; &#233;</p><ul><li>x<li>y</ul></div><form>f</form>", "a <b> é\nx\ny"),
     ("plain only", "plain only"),
+    ("<p>&<b>amp;</b> &lt<i>gt;</i></p>", "&amp; <gt;"),
     ("<p>broken <i>markup <p>goes <div class=ad>buy</div>on</p", "broken markup\ngoes\non"),
     ("", ""),
     (None, ""),
@@ -512,3 +513,30 @@ def test_html_templates_of_a_large_host_need_no_share(spark):
     got = {r.page_id: r.text for r in html.op10_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Title 3" and got[0] == "On four pages\nTitle 0" and got[399] == "Title 399"
     assert got[1002] == "Rotating word of the week\nOther 2"
+
+
+def test_html_templates_work_without_names(spark):
+    """Menus whose links change, boxes in the article and footers go by their counts alone; what decides is the surroundings."""
+    menu = "<div><ul><li><a href='/{i}'>News</a></li><li><a href='/x{i}'>Sport</a></li></ul></div>"
+    box = "<div><span id=b{i}>Read on in our app</span></div>"
+    rows = [(i, f"https://a.example.org/{i}", f"<body>{menu}<article><p>Text {i}</p>{box}<p>More {i}</p></article><section>Imprint</section></body>".replace("{i}", str(i))) for i in range(9)]
+    rows += [(100 + i, f"https://b.example.org/{i}", f"<body><article><div><p>The same article</p></div></article><i>{i}</i></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages, names=False).collect()}
+    assert all(got[i] == f"Text {i}\nMore {i}" for i in range(9)) and got[103] == "The same article\n3"
+    kept = {r.page_id: r.text for r in html.extract(pages, min_pages=100, names=False).collect()}
+    assert kept[3] == "News\nSport\nText 3\nRead on in our app\nMore 3\nImprint"
+    named = {r.page_id: r.text for r in html.op10_html(pages).collect()}
+    assert named[3] == "Text 3\nMore 3" and named[103] == "The same article"
+
+
+def test_html_subtrees_match_a_plain_count(spark):
+    rng = random.Random(8)
+    parts = [f"<div><p>{prose(rng, 3)}</p></div>" for _ in range(6)]
+    rows = [(i, "https://a.example.org/", "<body>" + "".join(rng.sample(parts, rng.randint(0, 4))) + f"<article><p>{prose(rng, 5)}</p></article></body>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(sum(p in h for _, _, h in rows) for p in parts)
+    found = html.subtrees(pages)
+    counts = sorted(r["count"] for r in found.select("subtree", "around").distinct().groupBy("subtree").count().collect())
+    assert counts == sorted(want * 2)  # each box and the paragraph in it
+    assert html.templates(found, 12).count() == 2 * sum(n >= 12 for n in want)

@@ -1,22 +1,26 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-A tolerant scanner keeps a stack of open elements. Every container subtree outside the article is hashed; Spark counts
-on how many different pages of its host each hash stands. Subtrees that recur on many pages of a host are template and
-are deleted, besides what tags, roles and class names mark as furniture. Inside the article nothing is deleted for
-recurring: articles share passages, and these are text.
+A tolerant scanner keeps a stack of open elements and hashes every subtree bottom-up: from its tag, its text and the
+hashes of its children, without attributes, so that changing links or numbers of a menu entry don't matter. Spark counts
+in how many different surroundings on its host each container subtree stands; those that recur are template and are
+deleted, in the main part and outside of it. The surroundings of a subtree are the main text without the subtree: copies
+of an article don't make it a template, nor does a box that is all of the article. Paragraphs of the main part are never
+deleted for recurring: articles share passages, and these are text. Tags, roles and class names decide about what recurs
+too seldom.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -31,6 +35,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROP = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "fieldset", "label"}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = {"div", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "dl", "p", "figure", "menu", "details"}
+#: Containers that may be template in the main part, too.
+BOXES = {"div", "section", "nav", "header", "footer", "aside", "form", "figure", "menu", "details"}
+_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: What an opening tag closes when it is still open: items and cells end at the next one, paragraphs at any block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "nav", "aside", "footer", "header", "blockquote", "form"}
@@ -45,42 +52,69 @@ MAIN = re.compile(r"(?:^|[-_\s])(?:content|main|main-content|maincontent|article
 
 
 class Page:
-    """One scan of a page: ``blocks`` are (text, rank, dropped, where it starts), ``subtrees`` are hashes of containers outside the article."""
+    """One scan of a page: ``blocks`` are (text, rank, dropped, where it starts), ``subtrees`` are (hash, hash of the surroundings) of containers.
 
-    def __init__(self, source: str, templates: frozenset = frozenset()):
+    Without ``names``, nothing is dropped or preferred for its tag, role or class: what ``templates`` leaves stays.
+    """
+
+    def __init__(self, source: str, templates: frozenset = frozenset(), names: bool = True):
         self.blocks: list[tuple[str, int, bool, int]] = []
-        self.subtrees: set[int] = set()
-        self.source = source
-        self.spans: list[tuple[int, int, int]] = []
+        self.names = names
+        # Begin, end, hash, sum of the hashes of its text, whether it lies in the main part.
+        self.spans: list[tuple[int, int, int, int, bool]] = []
+        self.all = self.main = 0
         self._scan(source)
+        total = (self.main or self.all) & _MASK
+        self.subtrees = {(h, (total - own) & _MASK if inside or not self.main else total) for _, _, h, own, inside in self.spans}
         if templates:
-            cut = [(a, b) for a, b, h in self.spans if h in templates]
-            self.blocks = [x for x in self.blocks if not any(a <= x[3] < b for a, b in cut)]
+            starts, ends = [], []
+            for a, b in sorted((a, b) for a, b, h, _, _ in self.spans if h in templates):
+                if not ends or b > ends[-1]:
+                    starts.append(a)
+                    ends.append(b)
+            self.blocks = [x for x in self.blocks if not (at := bisect_right(starts, x[3])) or x[3] >= ends[at - 1]]
 
     def _scan(self, s: str) -> None:
         # An open element: tag, where it starts, whether it is dropped, its rank as main part (2 article, 1 main), whether it is a header of an article.
         stack: list[tuple[str, int, bool, int, bool]] = []
+        # Of each open element, and of the page: hash of what it holds so far, sum of the hashes of its text.
+        held: list[list[int]] = [[0, 0]]
         parts: list[str] = []
         mains: list[int] = []
         start = 0
 
+        def add(piece: str) -> None:
+            # Each piece by itself, so that markup between two of them can't make up a reference.
+            piece = html.unescape(piece)
+            parts.append(piece)
+            if words := " ".join(piece.split()):
+                h = xxhash.xxh64_intdigest(words)
+                held[-1][0] = (held[-1][0] * _ODD + h) & _MASK
+                held[-1][1] += h
+                self.all += h
+                if any(x[3] for x in stack):
+                    self.main += h
+
         def flush() -> None:
             nonlocal start
             if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
+                text = " ".join("".join(parts).split())
                 parts.clear()
                 if text:
                     dropped = any(x[2] for x in stack) or any(x[4] for x in stack) and not any(x[0][0] == "h" and x[0][1:].isdigit() for x in stack)
-                    self.blocks.append((text, max((x[3] for x in stack), default=0), dropped, start))
+                    self.blocks.append((text, max((x[3] for x in stack), default=0), dropped and self.names, start))
 
         def pop(to: int, end: int) -> None:
             while len(stack) > to:
                 tag, begin, _, rank, _ = stack.pop()
-                # A template lies outside the main part and does not hold it.
-                if tag in CONTAINERS and not rank and not any(x[3] for x in stack) and not (mains and mains[-1] > begin):
-                    h = xxhash.xxh64_intdigest(" ".join(s[begin:end].split())) - (1 << 63)
-                    self.spans.append((begin, end, h))
-                    self.subtrees.add(h)
+                inner, own = held.pop()
+                h = xxhash.xxh64_intdigest(f"{tag} {inner}")
+                held[-1][0] = (held[-1][0] * _ODD + h) & _MASK
+                held[-1][1] += own
+                inside = any(x[3] for x in stack)
+                # A template does not hold the main part.
+                if tag in (BOXES if inside else CONTAINERS) and own and not rank and not (mains and mains[-1] > begin):
+                    self.spans.append((begin, end, h - (1 << 63), own, inside))
 
         pos, skip_to = 0, 0
         for m in TOKEN.finditer(s):
@@ -89,7 +123,7 @@ class Page:
             if m.start() > pos:
                 if not parts:
                     start = pos
-                parts.append(s[pos : m.start()])
+                add(s[pos : m.start()])
             pos = m.end()
             tag = m["tag"]
             if tag is None:
@@ -146,10 +180,11 @@ class Page:
             if rank:
                 mains.append(m.start())
             stack.append((tag, m.start(), drop, rank, head))
+            held.append([0, 0])
         if pos < len(s):
             if not parts:
                 start = pos
-            parts.append(s[pos:])
+            add(s[pos:])
         flush()
         pop(0, len(s))
 
@@ -157,6 +192,8 @@ class Page:
         """The blocks of the best-ranked part: the article, else what is marked as main, else all that isn't furniture."""
         kept = [x for x in self.blocks if not x[2]]
         best = max((x[1] for x in kept), default=0)
+        if not self.names:
+            return "\n".join(x[0] for x in kept)
         return "\n".join(x[0] for x in kept if x[1] == best)
 
 
@@ -170,39 +207,43 @@ def page_key():
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, subtree): the different container subtrees of each page; ``page`` is a hash of its html."""
+    """(host, page, subtree, around): the different container subtrees of each page, each with the hash of its surroundings; ``page`` is a hash of its html."""
 
     def run(batches):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             hosts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [Page(x or "").subtrees for x in batch.column(2).to_pylist()]
-            flat = [(host, key, h) for host, key, hs in zip(hosts, keys, found) for h in hs]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat), (pa.string(), pa.int64(), pa.int64()))] if flat else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], ["host", "page", "subtree"])
+            flat = [(host, key, h, around - (1 << 63)) for host, key, x in zip(hosts, keys, batch.column(2).to_pylist()) for h, around in Page(x or "").subtrees]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat) if flat else ((),) * 4, kinds)], ["host", "page", "subtree", "around"])
 
-    return pages.select(host_of().alias("host"), page_key().alias("page"), "html").mapInArrow(run, "host string, page long, subtree long").distinct()
+    return pages.select(host_of().alias("host"), page_key().alias("page"), "html").mapInArrow(run, "host string, page long, subtree long, around long").distinct()
 
 
 def templates(found: DataFrame, min_pages: int = 5) -> DataFrame:
-    """(host, subtree) of ``found`` (host, page, subtree): those on at least ``min_pages`` different pages, whatever the size of the host.
+    """(host, subtree) of ``found`` (host, page, subtree, around): those in ``min_pages`` different surroundings, whatever the size of the host.
 
-    Pages with the same html count once, so a page and its copies do not make each other a template.
+    Pages with the same main text count once, so a page and its copies do not make each other a template.
     """
-    return found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
+    return found.select("host", "subtree", "around").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
 
 
-def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, names: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html); null html is empty, text then ''.
 
-    Templates meet the pages as rows (host, subtree); gathered are only those that stand on one page.
+    Templates meet the pages as rows (host, subtree); gathered are only those that stand on one page. Tables are written
+    before they are joined, so that a hot host or a page with very many copies can be split. Without ``names`` the
+    templates decide alone.
     """
     found = durable(subtrees(pages))
-    cuts = found.join(templates(found, min_pages), ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("cut"))
+    recurring = durable(templates(found, min_pages))
+    cuts = durable(found.join(recurring, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("cut")))
+    release(found, recurring)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"), page_key().alias("page")).join(cuts, ["host", "page"], "left")
 
     def run(batches):
         for batch in batches:
             cuts = batch.column(3).to_pylist()
-            texts = [Page(h or "", frozenset(c or ())).text() for h, c in zip(batch.column(2).to_pylist(), cuts)]
+            texts = [Page(h or "", frozenset(c or ()), names).text() for h, c in zip(batch.column(2).to_pylist(), cuts)]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
@@ -210,5 +251,5 @@ def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
 
 
 def op10_html(pages: DataFrame) -> DataFrame:
-    """``extract`` with production parameters; repeated rows are pages of their own."""
+    """``extract`` with production parameters; null and empty html give an empty text, repeated rows are pages of their own."""
     return extract(pages)
