@@ -507,7 +507,7 @@ def with_repeats_cut(docs: DataFrame, length: int = 400, as_text: bool = False,
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept", *["without_passages"] * bool(passage)])
 
     shape = schema_of(docs) + f", n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}" + ", without_passages string" * bool(passage)
-    return keyed.join(found, [key, size], "left").select(*(f"`{n}`" for n in names), gaps).mapInArrow(run, shape)
+    return keyed.join(found.hint("merge"), [key, size], "left").select(*(f"`{n}`" for n in names), gaps).mapInArrow(run, shape)
 
 
 #: Bytes of fifty words and more: passages of more words than that are caught whole.
