@@ -19,13 +19,23 @@ from .trees import BoostedTrees
 SINGLE = 0  # the horizon that stands for the single split
 FORECAST = "method string, status string, horizon int, t0 long, actual double, pred double, lower double, upper double, orders string"
 
-#: The pairs of methods whose accuracy is compared.
+# The fourteen pairs of methods whose accuracy is compared.
 COMPARISONS = (
-    ("SARIMAX_causal_direct", "SARIMA"), ("SARIMAX_causal_ancestors", "SARIMA"), ("SARIMAX_all", "SARIMA"), ("SARIMAX_stepwise", "SARIMA"),
-    ("Trees_causal_direct", "Trees_level_only"), ("Trees_causal_ancestors", "Trees_level_only"), ("Trees_all", "Trees_level_only"), ("Trees_stepwise", "Trees_level_only"),
-    ("SARIMAX_causal_ancestors", "SARIMAX_all"), ("Trees_causal_ancestors", "Trees_all"), ("SARIMAX_causal_neighbours", "SARIMAX_causal_ancestors"),
-    ("Trees_causal_neighbours", "Trees_causal_ancestors"), ("SARIMA", "Persistence"), ("Trees_level_only", "Persistence"),
-)
+    ("Trees_causal_ancestors", "Trees_causal_direct"),
+    ("SARIMAX_causal_ancestors", "SARIMAX_causal_direct"),
+    ("Trees_causal_neighbours", "Trees_causal_ancestors"),
+    ("SARIMAX_causal_neighbours", "SARIMAX_causal_ancestors"),
+    ("Trees_causal_ancestors", "Trees_stepwise"),
+    ("SARIMAX_causal_ancestors", "SARIMAX_stepwise"),
+    ("Trees_causal_ancestors", "Trees_level_only"),
+    ("Trees_causal_ancestors", "Persistence"),
+    ("Trees_causal_ancestors", "Trees_all"),
+    ("Trees_causal_direct", "Trees_level_only"),
+    ("SARIMAX_causal_ancestors", "SARIMA"),
+    ("SARIMAX_causal_ancestors", "Persistence"),
+    ("Trees_causal_ancestors", "SARIMAX_causal_ancestors"),
+    ("Trees_all", "SARIMAX_all"),
+)
 
 
 def rolling_persistence(panel: DataFrame, by: list[str], pos: str, level: str, params: Params = DEFAULT) -> DataFrame:

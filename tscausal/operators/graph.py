@@ -15,15 +15,18 @@ def last_edges(edges: DataFrame, by: list[str], order: str) -> DataFrame:
     return edges.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def ancestors(edges: DataFrame, by: list[str], target: str, nodes: int = 7) -> DataFrame:
-    """(by, variable): everything with a path into ``target``, but not itself. Cycles are fine: a path needs at most
-    nodes - 1 steps, and each step keeps different variables only."""
-    arcs = edges.select(*by, "cause", "effect").distinct()
-    reached = arcs.where(F.col("effect") == target).select(*by, F.col("cause").alias("variable")).distinct()
-    for _ in range(nodes - 2):
-        step = arcs.join(reached.withColumnRenamed("variable", "effect"), [*by, "effect"]).select(*by, F.col("cause").alias("variable"))
-        reached = reached.union(step).distinct()
-    return reached.where(F.col("variable") != target)
+def ancestors(edges: DataFrame, by: list[str], target: str, steps: int = 1000) -> DataFrame:
+    """(by, variable): everything with a path into ``target``, however long, but not itself. Cycles are fine: a step
+    keeps what was not reached before only, until none is left."""
+    arcs = durable(edges.select(*by, "cause", "effect").distinct())
+    found = front = durable(arcs.where(F.col("effect") == target).select(*by, F.col("cause").alias("variable")).distinct())
+    for _ in range(steps):
+        step = arcs.join(front.withColumnRenamed("variable", "effect"), [*by, "effect"]).select(*by, F.col("cause").alias("variable")).distinct()
+        front = durable(step.join(found, [*by, "variable"], "left_anti"))
+        if front.isEmpty():
+            return found.where(F.col("variable") != target)
+        found = durable(found.union(front))
+    raise RuntimeError(f"a path is longer than {steps} steps")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:

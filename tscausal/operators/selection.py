@@ -27,14 +27,14 @@ def direct_lags(edges: DataFrame, by: list[str], target: str, forecast: DataFram
     return rows.withColumn("lag", F.when(F.col("causal_lag") >= 1, F.col("causal_lag")).otherwise(F.col("_f"))).where(F.col("lag").isNotNull()).drop("_f")
 
 
-def ancestor_lags(edges: DataFrame, by: list[str], target: str, forecast: DataFrame, positive: DataFrame, known: DataFrame, nodes: int = 7) -> DataFrame:
+def ancestor_lags(edges: DataFrame, by: list[str], target: str, forecast: DataFrame, positive: DataFrame, known: DataFrame) -> DataFrame:
     """(by, variable, causal_lag, lag) of all ancestors of the target that are in ``known`` (by, variable).
 
     A direct edge keeps a lag of 1 or more and has a lag of 0 chosen anew (``forecast``); an indirect ancestor takes the
     best positive lag of its full scan (``positive``). Both are (by, variable, lag).
     """
     edges = usable(edges)
-    found = graph.ancestors(edges, by, target, nodes).join(known.select(*by, "variable").distinct(), [*by, "variable"], "left_semi")
+    found = graph.ancestors(edges, by, target).join(known.select(*by, "variable").distinct(), [*by, "variable"], "left_semi")
     keys = [*by, "variable"]
     direct = edges.where(F.col("effect") == target).select(*by, F.col("cause").alias("variable"), F.col("obs_lag").alias("causal_lag"))
     rows = found.join(direct, keys, "left").join(forecast.select(*keys, F.col("lag").alias("_f")), keys, "left").join(positive.select(*keys, F.col("lag").alias("_p")), keys, "left")

@@ -23,7 +23,7 @@ class Params:
     gap_warning: float = 0.15
     alpha: float = 0.05
     season: int = 12
-    #: Depth, learning rate and number of trees of the six grid points.
+    # Depth, learning rate and number of trees of the six grid points.
     tree_grid: tuple[tuple[int, float, int], ...] = ((2, 0.05, 200), (3, 0.05, 200), (3, 0.10, 100), (4, 0.05, 300), (3, 0.03, 400), (5, 0.05, 200))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar, clean, crossmap, edm, gaps, stats
 from ..params import DEFAULT, Params
-from ..sources.files import remaining, require_complete, write_shards
+from ..sources.files import exists, remaining, require_complete, write_shards
 
 
 def entity_panel(stations: DataFrame, drivers: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -72,17 +72,12 @@ def run(pairs: DataFrame, by: list[str], store: str | None = None, params: Param
         return stats.causal_evidence(crossmap.edge_tests(pairs, by, "pos", params))
     spark, todo = pairs.sparkSession, pairs.select(*keys).distinct()
     left = todo
-    if _exists(spark, store):
+    if exists(spark, store):
         left = remaining(todo, spark.read.parquet(store), keys)
     write_shards(crossmap.edge_tests(pairs.join(left, keys, "left_semi"), by, "pos", params), store, by)
     return stats.causal_evidence(require_complete(todo, spark.read.parquet(store), keys))
 
 
-def _exists(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def usable_variables(panel: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Rows of variables whose training part has no gap of more than ``max_gap`` steps."""
     return gaps.without_long_gaps(panel, ["entity", "variable"], "pos", "value", params.max_gap)

@@ -193,7 +193,7 @@ def forecast_lags(spark, d):
 @query(f"""WITH RECURSIVE {EVIDENCE_SQL}{USABLE_SQL}, up AS (SELECT entity, cause AS variable FROM usable WHERE effect = 'level' UNION SELECT u.entity, u.cause FROM usable u JOIN up ON u.entity = up.entity AND u.effect = up.variable)
 SELECT entity, variable FROM up WHERE variable <> 'level'""")
 def ancestors(spark, d):
-    return graph.ancestors(durable(selection.usable(evidence(spark, d))), E, "level", len(VARIABLES))
+    return graph.ancestors(durable(selection.usable(evidence(spark, d))), E, "level")
 
 
 @query(f"""WITH {EVIDENCE_SQL}{USABLE_SQL}{FORECAST_SQL} SELECT u.entity, u.cause AS variable, obs_lag AS causal_lag, CASE WHEN obs_lag >= 1 THEN obs_lag ELSE f.lag END AS lag
@@ -209,7 +209,7 @@ chosen AS (SELECT a.entity, a.variable, u.obs_lag AS causal_lag, CASE WHEN u.obs
 
 def _ancestor_lags(spark, d):
     edges, lags = durable(evidence(spark, d)), durable(forecast_lags(spark, d))  # each is read several times
-    return selection.ancestor_lags(edges, E, "level", lags, lags, lags.select("entity", "variable"), len(VARIABLES))
+    return selection.ancestor_lags(edges, E, "level", lags, lags, lags.select("entity", "variable"))
 
 
 @query(f"WITH RECURSIVE {ANCESTOR_SQL} SELECT * FROM chosen WHERE lag IS NOT NULL")

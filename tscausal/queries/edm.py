@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..operators import clean, crossmap, edm, stats
 from ..params import DEFAULT
 from ..sources import panels as P
+from ..sources.files import durable
 from . import corr, query, r6, rounded
 
 E = ["entity"]
@@ -91,21 +90,21 @@ def forecast_constrained_lag(spark, d):
 def _simplex_sql() -> str:
     # Vectors of every size share the widest list of columns; columns beyond the size are zero on both sides.
     parts = []
-    for size in (2, 3, 4):
-        v = [("level" if not k else f"lag(level, {k}) OVER w") if k < size else "0.0" for k in range(4)]
+    for size in DEFAULT.dimensions:
+        v = [("level" if not k else f"lag(level, {k}) OVER w") if k < size else "0.0" for k in range(10)]
         parts.append(f"SELECT entity, {size}::INTEGER AS size, pos, lead(level, 1) OVER w AS y, {', '.join(f'{x} AS v{k + 1}' for k, x in enumerate(v))} FROM panel WINDOW w AS (PARTITION BY entity ORDER BY pos)")
-    points = "points AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE y IS NOT NULL AND v1 IS NOT NULL AND v2 IS NOT NULL AND v3 IS NOT NULL AND v4 IS NOT NULL)"
-    return P.monthly_positions_sql("n_name") + ", " + points + ", " + _skill_sql(4, 1, "entity, size").replace("<= 5)", "<= size + 1)").replace("b.y AS ny", "b.y AS ny, a.size AS s").replace("a.entity, a.size, a.pos", "a.entity, a.size, a.pos")
+    points = "points AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE y IS NOT NULL AND " + " AND ".join(f"v{k} IS NOT NULL" for k in range(1, 11)) + ")"
+    return P.monthly_positions_sql("n_name") + ", " + points + ", " + _skill_sql(10, 1, "entity, size").replace("<= 11)", "<= size + 1)").replace("b.y AS ny", "b.y AS ny, a.size AS s").replace("a.entity, a.size, a.pos", "a.entity, a.size, a.pos")
 
 
 @query(f"WITH {_simplex_sql()} SELECT entity, size, {r6('rho')} AS rho FROM skill WHERE n >= 2")
 def simplex_self_skill(spark, d):
-    return edm.simplex_skill(P.monthly_positions(spark, d, "n_name"), E, "pos", "level", [2, 3, 4]).select("entity", "size", rounded("rho").alias("rho"))
+    return edm.simplex_skill(P.monthly_positions(spark, d, "n_name"), E, "pos", "level", list(DEFAULT.dimensions)).select("entity", "size", rounded("rho").alias("rho"))
 
 
 @query(f"WITH {_simplex_sql()}, best AS (SELECT * FROM skill WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY rho DESC NULLS LAST, size) = 1) SELECT entity, CASE WHEN rho IS NULL THEN 2 ELSE size END AS size FROM best")
 def select_embedding_dim(spark, d):
-    return edm.choose_size(edm.simplex_skill(P.monthly_positions(spark, d, "n_name"), E, "pos", "level", [2, 3, 4]), E)
+    return edm.choose_size(edm.simplex_skill(P.monthly_positions(spark, d, "n_name"), E, "pos", "level", list(DEFAULT.dimensions)), E)
 
 
 @query(f"""WITH {P.monthly_positions_sql()}, {_points_sql('panel', 'qty', 'level', [1], 2)},
@@ -164,13 +163,19 @@ def edge_pairs(panel, variables, sizes):
     return cause.join(effect, ["entity", "pos"]).where("cause <> effect").join(sizes, ["entity", "effect"]).withColumn("tau", F.lit(1))
 
 
+def tested_edges(spark, d):
+    panel = P.monthly_positions(spark, d)
+    variables = F.array(*(F.struct(F.lit(v).alias("effect"), F.col(v).alias("value")) for v in P.MONTHLY))
+    long = panel.select("entity", "pos", F.explode(variables).alias("v")).select("entity", "pos", "v.*")
+    skill = edm.simplex_skill(long, ["entity", "effect"], "pos", "value", list(DEFAULT.dimensions), DEFAULT.tau)
+    sizes = durable(edm.choose_size(skill, ["entity", "effect"]))
+    return crossmap.edge_tests(edge_pairs(panel, P.MONTHLY, sizes), E, "pos", DEFAULT)
+
+
 @query()
 def ccm_edge_test(spark, d):
-    """Edge tests of the monthly panel with 99 surrogates, adjusted as one family."""
-    panel = P.monthly_positions(spark, d)
-    sizes = panel.select("entity").distinct().withColumn("effect", F.explode(F.array(F.lit("level"), F.lit("qty"), F.lit("disc")))).withColumn("size", F.lit(3))
-    edges = crossmap.edge_tests(edge_pairs(panel, ["level", "qty", "disc"], sizes), E, "pos", replace(DEFAULT, surrogates=99))
-    return stats.causal_evidence(edges)
+    """Edge tests of all pairs of variables of the monthly panel, each effect embedded in the size that predicts it best, adjusted as one family."""
+    return stats.causal_evidence(tested_edges(spark, d))
 
 
 @query()
@@ -179,4 +184,4 @@ def coupled_map_edges(spark, d):
     rows = spark.createDataFrame([(pos, x, y) for pos, x, y in P.coupled_maps()], "pos long, x double, y double")
     pairs = rows.select(F.lit("x").alias("cause"), F.lit("y").alias("effect"), "pos", "x", "y").union(rows.select(F.lit("y"), F.lit("x"), "pos", "y", "x"))
     pairs = pairs.withColumns({"entity": F.lit("maps"), "size": F.lit(4), "tau": F.lit(1)})
-    return stats.causal_evidence(crossmap.edge_tests(pairs, E, "pos", replace(DEFAULT, surrogates=99)))
+    return stats.causal_evidence(crossmap.edge_tests(pairs, E, "pos", DEFAULT))

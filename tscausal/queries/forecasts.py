@@ -18,7 +18,6 @@ from . import corr, query, r6, rounded
 
 E = ["entity"]
 PARAMS = replace(DEFAULT, horizon=24)
-QUICK = replace(DEFAULT, horizon=12, horizons=(1, 3, 6), tree_grid=((2, 0.1, 30), (3, 0.1, 30)))
 PANEL_SQL = P.monthly_positions_sql("n_name", 24)
 NAIVE_SQL = PANEL_SQL + """, origins AS (
   SELECT o.entity, h AS horizon, o.pos AS t0, a.level AS actual, o.level AS last,
@@ -216,14 +215,20 @@ def _anomalies(spark, d):
     return rows.select("entity", "pos", *P.MONTHLY)
 
 
+def _tuned(spark, d):
+    """The panel has some eighty months, and folds need sixty after twelve lags: the test part is short here."""
+    return forecast.tune_trees(_anomalies(spark, d), E, "pos", "level", replace(DEFAULT, horizon=6))
+
+
 @query()
 def tree_grid_cv(spark, d):
-    return forecast.tune_trees(_anomalies(spark, d), E, "pos", "level", replace(QUICK, horizon=6))
+    return _tuned(spark, d)
 
 
 def _fitted(spark, d, family, horizon):
     methods = matrix(spark, d, "r_name").where(F.col("family") == family)
-    rows = forecast.run_methods(_anomalies(spark, d), methods, E, "pos", "level", P.MONTHLY[1:], (3, 0.1, 50), QUICK)
+    shape = forecast.chosen_shape(_tuned(spark, d)) if family == "trees" else DEFAULT.tree_grid[0]
+    rows = forecast.run_methods(_anomalies(spark, d), methods, E, "pos", "level", P.MONTHLY[1:], shape, PARAMS)
     return rows.where("horizon = 0") if horizon == "single" else rows.where("horizon > 0")
 
 

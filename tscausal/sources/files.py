@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,24 @@ def station_readings(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select("station", F.make_date(F.col("year").cast("int"), F.col("month_number").cast("int"), F.lit(1)).alias("month"), to_number("value").alias("value"))
 
 
+def fetch_stations(stations: list[str], fetch: Callable[[str], DataFrame | None], warn: Callable[[str], None] = warnings.warn) -> list[DataFrame]:
+    """What ``fetch`` (any reader: files, JDBC, a download) returns for each station. A station that fails or has no
+    rows is left out with a warning; it is an error only if none is left."""
+    found = []
+    for station in stations:
+        try:
+            rows = fetch(station)
+            if rows is None or rows.isEmpty():
+                raise ValueError("no rows")
+        except Exception as e:  # any reader's failure is that station's alone
+            warn(f"station {station} is left out: {type(e).__name__}: {e}")
+            continue
+        found.append(rows.withColumn("station", F.lit(station)))
+    if not found:
+        raise ValueError(f"none of {len(stations)} stations has data")
+    return found
+
+
 def union_stations(frames: list[DataFrame], calendar: DataFrame) -> DataFrame:
     """All stations on one calendar (month); a station without rows is simply absent. At least one is needed."""
     if not frames:
@@ -69,6 +89,29 @@ def require_complete(tasks: DataFrame, done: DataFrame, keys: list[str]) -> Data
     return done
 
 
+def read_parameters(spark: SparkSession, path: str, entities: DataFrame, variables: list[str], size: int = 3, tau: int = 1) -> DataFrame:
+    """(entity, variable, size, tau, stored) from JSON files of objects with entity, variable, size and tau; what they
+    lack, or hold without a positive size, gets the values given."""
+    stored = spark.read.schema("entity string, variable string, size int, tau int").json(path).where("size > 0")
+    stored = last_by(stored.withColumn("tau", F.coalesce("tau", F.lit(tau))), ["entity", "variable"], "size")
+    wanted = entities.select("entity").distinct().withColumn("variable", F.explode(F.array(*map(F.lit, variables))))
+    out = wanted.join(stored, ["entity", "variable"], "left")
+    return out.select("entity", "variable", F.coalesce("size", F.lit(size)).alias("size"), F.coalesce("tau", F.lit(tau)).alias("tau"), F.col("size").isNotNull().alias("stored"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def by_fingerprint(store: str, fingerprint: str, compute: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The result kept under ``store``/``fingerprint``, computed and written there first if there is none."""
+    path = f"{store}/{fingerprint}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
@@ -80,10 +123,12 @@ def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the folder of spark.checkpoint.dir (a temporary one only where unset)."""
+    """Cuts the lineage by a Parquet table in the folder of spark.checkpoint.dir; a temporary one only where none is set and Spark runs on this machine alone."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder}/{uuid.uuid4().hex}"

@@ -44,13 +44,13 @@ hourly_cells AS (
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, pos, x) with gaps of all lengths."""
-    cells = _events(spark, sf_dir).where("user_id < 50").groupBy(F.expr("user_id div 5").alias("entity"), "pos").agg(F.avg("value").alias("x"))
+    cells = _events(spark, sf_dir).groupBy(F.expr("user_id div 5").alias("entity"), "pos").agg(F.avg("value").alias("x"))
     return densify(cells, ["entity"], "pos")
 
 
 SPARSE_SQL = """
 sparse_cells AS (
-  SELECT user_id // 5 AS entity, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS pos, avg(value) AS x FROM events WHERE user_id < 50 GROUP BY ALL
+  SELECT user_id // 5 AS entity, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS pos, avg(value) AS x FROM events GROUP BY ALL
 ), sparse AS (
   SELECT s.entity, s.pos, x FROM (SELECT entity, unnest(range(min(pos), max(pos) + 1)) AS pos FROM sparse_cells GROUP BY entity) s LEFT JOIN sparse_cells USING (entity, pos)
 )"""
@@ -58,8 +58,8 @@ sparse_cells AS (
 
 def monthly(spark: SparkSession, sf_dir: str, by: str = "r_name") -> DataFrame:
     """(entity, month, level, cnt, qty, disc, tax), complete months; ``by``: r_name or n_name."""
-    places = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    places = places.join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col(by).alias("entity"))
+    places = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = places.join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col(by).alias("entity"))
     month = F.trunc("o_orderdate", "month").alias("month")
     orders = _table(spark, sf_dir, "orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "entity", month)
     sums = orders.groupBy("entity", "month").agg(F.avg("o_totalprice").alias("level"), F.count("*").cast("double").alias("cnt"))
@@ -86,7 +86,7 @@ monthly_orders AS (
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, station, month, x): complete months of every station."""
-    places = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("entity"), F.col("c_mktsegment").alias("station"))
+    places = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("entity"), F.col("c_mktsegment").alias("station"))
     orders = _table(spark, sf_dir, "orders").join(places, F.col("o_custkey") == F.col("c_custkey"))
     return densify(orders.groupBy("entity", "station", F.trunc("o_orderdate", "month").alias("month")).agg(F.avg("o_totalprice").alias("x")), ["entity", "station"], "month", "1 month")
 
