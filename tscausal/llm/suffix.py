@@ -95,12 +95,11 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     grams = gram_hashes(levels, n, gram)
     least = (grams & ~_PLACES) | np.arange(n, dtype=np.uint64)
     width, step = length - gram + 1, 1
-    fill = np.full(width, ~np.uint64(0))
     while step * 2 <= width:
-        least = np.minimum(least, np.concatenate([least[step:], fill[:step]]))
+        least = np.minimum(least[:-step], least[step:])
         step *= 2
-    rest = width - step
-    least = np.minimum(least, np.concatenate([least[rest:], fill[:rest]]))
+    if rest := width - step:
+        least = np.minimum(least[:-rest], least[rest:])
     at = np.flatnonzero(ends - np.arange(n) >= length)
     if not len(at):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
@@ -309,7 +308,7 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
             keys, sizes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary())
             at = 0
             while at < len(keys):
-                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), 1 << 20, side="right")))
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), 1 << 17, side="right")))
                 some = texts.slice(at, to - at).to_pylist()
                 of, first, windows, ahead, gram, segment = runs(some, length)
                 by = np.lexsort((first, segment, gram, of))
