@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..functions.scalars import excluded_direction, haversine_km, name_tokens
 
 # Words of names that say nothing about which water body is meant.
@@ -49,6 +50,24 @@ def holding_area(points: DataFrame, boxes: DataFrame, near: float = 0.05) -> Dat
     return pairs.withColumn("_k", rank).where("_k = 1").select("point", "area", F.when(inside, "contains").otherwise("near").alias("relation"))
 
 
+def holding_outline(points: DataFrame, outlines: DataFrame, near: float = 0.05) -> DataFrame:
+    """(point, area, relation): the outline that contains a point (the largest such), else the nearest within ``near`` degrees.
+
+    Points have (point, lat, lon), outlines (area, rings, size). As in ``holding_area`` whole degrees key the join; an
+    outline's edges are tested only by points in its bounds. Points without a place and outlines without rings match nothing.
+    """
+    south, north, west, east = geometry.bounds(F.col("rings"))
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) - near), F.floor(F.col(b) + near))
+    tiles = outlines.select("area", "size", geometry.edges_of(F.col("rings")).alias("edges"), *(c.alias(n) for c, n in ((south, "south"), (north, "north"), (west, "west"), (east, "east"))))
+    tiles = tiles.where("south IS NOT NULL AND west IS NOT NULL").withColumn("i", F.explode(cells("south", "north"))).withColumn("j", F.explode(cells("west", "east")))
+    pairs = points.withColumn("i", F.floor("lat")).withColumn("j", F.floor("lon")).join(tiles, ["i", "j"])
+    pairs = pairs.where(F.col("lat").between(F.col("south") - near, F.col("north") + near) & F.col("lon").between(F.col("west") - near, F.col("east") + near))
+    place = F.col("lon"), F.col("lat"), F.col("edges")
+    pairs = pairs.select("point", "area", "size", geometry.inside(*place).alias("inside"), geometry.distance(*place).alias("d")).where((F.col("d") <= near) | F.col("inside"))
+    rank = F.row_number().over(Window.partitionBy("point").orderBy(F.desc("inside"), F.when(F.col("inside"), -F.col("size")).otherwise(F.col("d")), "area"))
+    return pairs.withColumn("_k", rank).where("_k = 1").select("point", "area", F.when(F.col("inside"), "contains").otherwise("near").alias("relation"))
+
+
 def regulated_stations(history: DataFrame) -> DataFrame:
     """(station, regulated, periods): whether a station was ever regulated, and its history in order."""
     return history.groupBy("station").agg(F.max("regulated").alias("regulated"), F.sort_array(F.collect_list(F.struct("year_from", "year_to", "regulated"))).alias("periods"))

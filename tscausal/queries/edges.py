@@ -387,6 +387,40 @@ def containing_area(spark, d):
     return screening.holding_area(gauges(spark, d)[1].select(F.col("id").alias("point"), "lat", "lon"), boxes)
 
 
+#: A concave outline for every nation: offsets of the edges' ends from its corner.
+OUTLINE = ((0.0, 0.0), (1.3, 0.2), (0.55, 0.45), (1.1, 0.9), (0.1, 0.75))
+OUTLINE_SQL = f"""outlines AS (SELECT n_nationkey AS area, (n_nationkey * 7 % 25)::DOUBLE AS size, -100 + n_nationkey * 0.35::DOUBLE AS w, 40 + n_nationkey * 0.35::DOUBLE AS s FROM nation),
+edges AS (SELECT area, size, w + t.a AS x1, s + t.b AS y1, w + t.c AS x2, s + t.e AS y2 FROM outlines, (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for (a, b), (c, e) in zip(OUTLINE, OUTLINE[1:] + OUTLINE[:1]))}) t(a, b, c, e))"""
+
+
+def _outlines(spark, d):
+    w, s = (F.lit(x) + F.col("n_nationkey") * F.lit(0.35) for x in (-100, 40))
+    ring = F.array(*(F.struct((w + a).alias("x"), (s + b).alias("y")) for a, b in OUTLINE))
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("area"), F.array(ring).alias("rings"), (F.col("n_nationkey") * 7 % 25).cast("double").alias("size"))
+
+
+@query(f"""WITH {GAUGES_SQL}, {OUTLINE_SQL},
+o AS (SELECT id AS point, edges.area, size, lon, lat, x1, y1, x2, y2, least(greatest(((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS u FROM flows, edges),
+x AS (SELECT point, area, size, count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1 AS inside, min(sqrt(pow(lon - x1 - u * (x2 - x1), 2) + pow(lat - y1 - u * (y2 - y1), 2))) AS dist FROM o GROUP BY point, area, size)
+SELECT point, area, CASE WHEN inside THEN 'contains' ELSE 'near' END AS relation FROM x WHERE inside OR dist <= 0.05
+QUALIFY row_number() OVER (PARTITION BY point ORDER BY inside DESC, CASE WHEN inside THEN -size ELSE dist END, area) = 1""")
+def containing_outline(spark, d):
+    """The outline that holds each gauge, or the nearest."""
+    return screening.holding_outline(gauges(spark, d)[1].select(F.col("id").alias("point"), "lat", "lon"), _outlines(spark, d))
+
+
+@query(f"""WITH {OUTLINE_SQL},
+b AS (SELECT area, i, unnest(range(floor(w / 0.1::DOUBLE)::BIGINT - 1, floor((w + 1.3::DOUBLE) / 0.1::DOUBLE)::BIGINT + 2)) AS j, w, s FROM (SELECT *, unnest(range(floor(s / 0.1::DOUBLE)::BIGINT - 1, floor((s + 0.9::DOUBLE) / 0.1::DOUBLE)::BIGINT + 2)) AS i FROM outlines)),
+q AS (SELECT area, i, j, i * 0.1::DOUBLE AS south, (i + 1) * 0.1::DOUBLE AS north, j * 0.1::DOUBLE AS west, (j + 1) * 0.1::DOUBLE AS east FROM b),
+c AS (SELECT q.*, x1, y1, x2, y2, [(x2 - x1) * (south - y1) - (y2 - y1) * (west - x1), (x2 - x1) * (north - y1) - (y2 - y1) * (west - x1), (x2 - x1) * (south - y1) - (y2 - y1) * (east - x1), (x2 - x1) * (north - y1) - (y2 - y1) * (east - x1)] AS sides FROM q JOIN edges USING (area)),
+m AS (SELECT area, i, j, bool_or(NOT (greatest(x1, x2) < west OR least(x1, x2) > east OR greatest(y1, y2) < south OR least(y1, y2) > north) AND list_min(sides) <= 0 AND list_max(sides) >= 0) AS cuts,
+  count(*) FILTER ((y1 > south) <> (y2 > south) AND west < (x2 - x1) * (south - y1) / (y2 - y1) + x1) % 2 = 1 AS inside FROM c GROUP BY area, i, j)
+SELECT area, round((i + 0.5::DOUBLE) * 0.1::DOUBLE, 6) AS lat, round((j + 0.5::DOUBLE) * 0.1::DOUBLE, 6) AS lon FROM m WHERE cuts OR inside""")
+def outline_cells(spark, d):
+    """Grid squares that an outline touches, for every nation."""
+    return grid.cells_of_outline(_outlines(spark, d))
+
+
 # --- the rest of the inventory ---------------------------------------------------------------------------------------
 
 
