@@ -1,7 +1,10 @@
 """Readers that go on without what fails, stored parameters and results kept by fingerprint."""
 
+import sqlite3
+
 import pytest
 
+from tscausal.operators import screening
 from tscausal.sources import files
 
 
@@ -43,3 +46,14 @@ def test_ancestors_of_long_chains(spark):
 
     edges = spark.createDataFrame([("e", f"v{i:02d}", f"v{i + 1:02d}") for i in range(12)] + [("e", "v05", "v02")], "entity string, cause string, effect string")
     assert {r.variable for r in graph.ancestors(edges, ["entity"], "v12").collect()} == {f"v{i:02d}" for i in range(12)}
+
+
+def test_sqlite_files(spark, tmp_path):
+    for name, stations in (("a.db", [("A1", 1, 1950), ("A1", 0, None), ("B2", 0, 1960)]), ("b.db", [("C3", 1, 2000)]), ("empty.db", [])):
+        with sqlite3.connect(tmp_path / name) as db:
+            db.execute("CREATE TABLE regulation (station TEXT, regulated INTEGER, year_from INTEGER)")
+            db.executemany("INSERT INTO regulation VALUES (?, ?, ?)", stations)
+        db.close()
+    found = files.read_sqlite(spark, str(tmp_path), "SELECT station, regulated, year_from, NULL FROM regulation", "station string, regulated int, year_from int, year_to int", rows=2)
+    by_station = {r.station: (r.regulated, len(r.periods)) for r in screening.regulated_stations(found).collect()}
+    assert by_station == {"A1": (1, 2), "B2": (0, 1), "C3": (1, 1)}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sqlite3
 import tempfile
 import uuid
 import warnings
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import parse_bool, to_number
 
@@ -31,6 +35,27 @@ def read_text_table(spark: SparkSession, path: str, numbers: list[str] = (), fla
     return df.withColumns({c: to_number(c) for c in numbers} | {c: parse_bool(c) for c in flags}) if numbers or flags else df
 
 
+def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str, rows: int = 10_000) -> DataFrame:
+    """The rows that ``sql`` (one SELECT) gives in each SQLite file of ``path``, with the columns of ``schema`` in order.
+
+    A task reads one file through Spark, so any store will do, and hands its rows on in batches; a file is held in memory
+    and must be smaller than 2 GB. A file without the tables asked for is an error; one without rows gives none.
+    """
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(content.as_py())
+                found = db.execute(sql)
+                while some := found.fetchmany(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), shape, strict=True)], schema=shape)
+                db.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
 def station_readings(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Monthly readings as (station, month, value) from a download with columns named in another language.
 
