@@ -1,7 +1,9 @@
 """Outlines with holes, shared corners, boxes around and inside."""
 
+import duckdb
 import pytest
 
+from tscausal import catalog
 from tscausal.operators import screening
 from tscausal.sources import grid
 
@@ -33,3 +35,15 @@ def test_squares_of_outlines(spark, outlines):
     assert {r.area for r in grid.cells_of_outline(outlines.where("area = 'small'"), 5.0).collect()} == {"small"}
     hollow = spark.createDataFrame([("wide", [SQUARE, [(0.05, 0.05), (0.95, 0.05), (0.95, 0.95), (0.05, 0.95)]], 1.0)], SHAPE)
     assert (0.45, 0.45) not in {(round(r.lon, 2), round(r.lat, 2)) for r in grid.cells_of_outline(hollow).collect()}
+
+
+def test_points_just_as_far_as_the_limit(spark, tmp_path):
+    """The corners of the boxes lie where the decimals of the SQL have them: supplier 370 is 0.05 degrees from area 17."""
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    for table, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        spark.range(1000).selectExpr(f"id AS {key}", f"'x' AS {key[0]}_name", f"0 AS {key[0]}_nationkey").write.parquet(f"{tmp_path}/{table}.parquet")
+    with duckdb.connect() as duck:
+        for table in ("nation", "supplier", "customer"):
+            duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        want = sorted(duck.sql(catalog.ORACLE_SQL["containing_area"]).fetchall())
+    assert (370, 17, "near") in want and sorted(tuple(r) for r in catalog.QUERIES["containing_area"](spark, str(tmp_path)).collect()) == want

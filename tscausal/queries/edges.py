@@ -383,7 +383,9 @@ x AS (SELECT id AS point, area, size, sqrt(pow(greatest(west - lon, lon - east,
 SELECT point, x.area, CASE WHEN dist = 0 THEN 'contains' ELSE 'near' END AS relation FROM (SELECT point, area, size, dist FROM x) x WHERE dist <= 0.05
 QUALIFY row_number() OVER (PARTITION BY point ORDER BY (dist = 0) DESC, CASE WHEN dist = 0 THEN -size ELSE dist END, x.area) = 1""".replace("SELECT id AS point, area, size, sqrt", "SELECT id AS point, boxes.area, size, sqrt"))
 def containing_area(spark, d):
-    boxes = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("area"), *((F.col("n_nationkey") * 0.35 + x).alias(n) for n, x in (("south", 40), ("north", 40.9), ("west", -100), ("east", -98.7))), (F.col("n_nationkey") * 7 % 25).cast("double").alias("size"))
+    # Corners in decimals as in the SQL: in doubles some lie a last place off, and points just as far as the limit would be lost.
+    corner = lambda x: (F.col("n_nationkey") * F.expr("0.35BD") + F.expr(f"{x}BD")).cast("double")
+    boxes = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("area"), *(corner(x).alias(n) for n, x in (("south", "40"), ("north", "40.9"), ("west", "-100"), ("east", "-98.7"))), (F.col("n_nationkey") * 7 % 25).cast("double").alias("size"))
     return screening.holding_area(gauges(spark, d)[1].select(F.col("id").alias("point"), "lat", "lon"), boxes)
 
 
