@@ -93,3 +93,27 @@ def test_near_copies_go_and_others_stay(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want
     assert shingles.similarity(b"a b c d e f", b"a b c d e g") == 1 / 3
+
+
+def test_no_similar_pair_is_lost(spark):
+    """Pairs at just 0.8 that twenty bands of five least hashes don't let meet, and whose fingerprints are 6 to 9 bits apart."""
+    rows = []
+    for i in (4182, 7448, 9087, 10810):
+        words = [f"w{i}x{j}" for j in range(14)]
+        rows += [(len(rows), " ".join(words[:12])), (len(rows) + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 2, 4, 6}
+
+
+def test_prefixes_of_similar_texts_meet():
+    rng = random.Random(3)
+    for _ in range(3000):
+        n = rng.randint(1, 80)
+        common = rng.sample(range(1 << 40), n)
+        x, y = (common + rng.sample(range(1 << 40), rng.randint(0, n // 4)) for _ in range(2))
+        if len(set(x) & set(y)) < 0.8 * len(set(x) | set(y)):
+            continue
+        x, y = sorted(set(x)), sorted(set(y))
+        (a, a_keys), (b, b_keys) = shingles.prefix_sizes(len(x)), shingles.prefix_sizes(len(y))
+        assert set(x[:a_keys]) & set(y[:b_keys])
+        assert len(set(x[:a]) & set(y[:b])) >= max(shingles.needed(len(x)), shingles.needed(len(y)))
