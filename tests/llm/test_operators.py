@@ -498,6 +498,37 @@ def test_gru_scores_match_a_plain_loop():
     assert model.score(docs, 0) == pytest.approx([plain(d) for d in docs], rel=1e-4)
 
 
+def test_gru_computes_softmaxes_of_all_classes_together():
+    """Per class only the products are left, so calls hardly grow with the classes; rows are reduced for all of them at once."""
+    import cProfile
+    import pstats
+
+    calls = {}
+    for classes in (4, 64):
+        model = Gru(np.ones(classes * 8), hidden=4, size=8)
+        rng = np.random.default_rng(3)
+        h, y = rng.normal(size=(4096, 4)).astype(np.float32), rng.integers(0, classes * 8, 4096)
+        profile = cProfile.Profile()
+        profile.runcall(model.output, h, y, {})
+        calls[classes] = pstats.Stats(profile).total_calls
+    assert calls[64] - calls[4] < 60
+
+
+def test_gru_probabilities_out_of_range_of_plain_exponentials():
+    for scale in (1, 40, 400):
+        model = Gru(np.array([5.0, 4, 3, 2, 2, 1, 1]), hidden=4, size=3)
+        rng = np.random.default_rng(7)
+        model.p = {k: (v + rng.normal(0, scale, v.shape)).astype(np.float32) for k, v in model.p.items()}
+        h, y = rng.uniform(-1, 1, (200, 4)).astype(np.float32), rng.integers(0, 7, 200)
+        p, want = {k: v.astype(float) for k, v in model.p.items()}, []
+        for a, k in zip(h.astype(float), y):
+            top, low = a @ p["Wc"] + p["bc"], a @ p["Wo"][k // 3] + p["bo"][k // 3]
+            want.append(top[k // 3] - np.logaddexp.reduce(top) + low[k % 3] - np.logaddexp.reduce(low))
+        grads = {}
+        assert model.output(h, y, grads)[0] == pytest.approx(want, rel=1e-4, abs=1e-3)
+        assert all(np.isfinite(v).all() for v in grads.values())
+
+
 def test_lm_averages_in_a_tree(spark):
     rows = [(n, np.full(3, v, "<f4").tobytes()) for n, v in ((1, 1.0), (2, 4.0), (3, 7.0), (4, 2.0))]
     models = spark.createDataFrame(rows, "tokens long, flat binary").repartition(4)

@@ -13,8 +13,17 @@ from collections.abc import Iterable
 import numpy as np
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of ``x`` less a shift of each row, their sums, and the shifts: none where the numbers stay in range without."""
+    ones = np.ones(x.shape[1], x.dtype)
+    if x.max(initial=0) < 60:
+        e = np.exp(x)
+        total = e @ ones
+        if total.min(initial=1) > 1e-25:
+            return e, total, 0.0
+    top = x.max(axis=1)
+    e = np.exp(x - top[:, None])
+    return e, e @ ones, top
 
 
 class Gru:
@@ -39,47 +48,72 @@ class Gru:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
+    def gated(self, name: str) -> np.ndarray:
+        """The parameter's parts for the update gate, the reset gate and the candidate, each by itself: (3, row, unit)."""
+        p = self.p[name]
+        return np.ascontiguousarray(p.reshape(len(p), 3, self.hidden).transpose(1, 0, 2))
+
+    def cell(self, a: np.ndarray, h: np.ndarray, weights: np.ndarray) -> tuple:
+        """State after ``h`` with inputs ``a`` (gate, row, unit; overwritten), the update and reset gates, the candidate and its part of ``h``; ``weights``: U, ``gated``."""
+        u = np.matmul(h, weights)
+        gates = a[:2]
+        gates += u[:2]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        z, r = gates
+        c = r * u[2]
+        c += a[2]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, c, u[2]
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        n, p = self.hidden, self.p
-        a, u = p["E"][x] + p["b"], h @ p["U"]
-        gates = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-        return c + z * (h - c), z, r, c, u[:, 2 * n :]
+        inputs = self.gated("E") + self.p["b"].reshape(3, 1, -1)
+        return self.cell(inputs[:, x], h, self.gated("U"))
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of the symbols ``y`` after states ``h``; with ``grads`` also the slope of their mean's negative."""
+        """Natural log-probabilities of the symbols ``y`` after states ``h``; with ``grads`` also the slope of their mean's negative.
+
+        Within classes the rows lie together by class: only the products are made class by class.
+        """
         p, of, at = self.p, y // self.size, y % self.size
-        logits = h @ p["Wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
         rows = np.arange(len(y))
-        out = (logits[rows, of] - np.log(total)).astype(np.float64)
+
+        def slope(e: np.ndarray, total: np.ndarray, at: np.ndarray) -> np.ndarray:
+            e *= (1 / (total * len(y)))[:, None]
+            e[rows, at] -= 1 / len(y)
+            return e
+
+        logits = h @ p["Wc"]
+        logits += p["bc"]
+        e, total, shift = _exps(logits)
+        out = (logits[rows, of] - shift - np.log(total)).astype(np.float64)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, of] -= 1
-            d /= len(y)
+            d = slope(e, total, of)
             grads["Wc"], grads["bc"], dh = h.T @ d, d.sum(axis=0), d @ p["Wc"].T
-            grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.uint16) if len(p["bc"]) <= 1 << 16 else of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(len(p["bc"]) + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            mine = order[cuts[k] : cuts[k + 1]]
-            hk = h[mine]
-            inner = hk @ p["Wo"][k] + p["bo"][k]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(axis=1)
-            some = np.arange(len(mine))
-            out[mine] += inner[some, at[mine]] - np.log(total)
-            if grads is not None:
-                d = e / total[:, None]
-                d[some, at[mine]] -= 1
-                d /= len(y)
-                grads["Wo"][k], grads["bo"][k] = hk.T @ d, d.sum(axis=0)
-                dh[mine] += d @ p["Wo"][k].T
+        parts = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+        # A unit that is always 1 brings in the biases, and their slopes.
+        h, at = np.concatenate([h, np.ones((len(y), 1), h.dtype)], axis=1)[order], at[order]
+        weights = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1)
+        inner = np.empty((len(y), self.size), logits.dtype)
+        for k, mine in parts:
+            np.matmul(h[mine], weights[k], out=inner[mine])
+        e, total, shift = _exps(inner)
+        out[order] += inner[rows, at] - shift - np.log(total)
+        if grads is not None:
+            d, back, both = slope(e, total, at), np.empty((len(y), self.hidden), inner.dtype), np.zeros_like(weights)
+            for k, mine in parts:
+                np.matmul(h[mine].T, d[mine], out=both[k])
+                np.matmul(d[mine], p["Wo"][k].T, out=back[mine])
+            grads["Wo"], grads["bo"] = both[:, :-1].copy(), both[:, -1].copy()
+            dh[order] += back
         return out, dh
 
     def slopes(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray]:
@@ -90,37 +124,48 @@ class Gru:
         n, p = self.hidden, self.p
         (window, streams), kind = x.shape, p["U"].dtype
         open_ = (x != end)[:, :, None].astype(kind)
-        inputs = p["E"][x] + p["b"]
-        states, kept = np.empty((window, streams, n), kind), []
+        inputs, weights = self.gated("E")[:, x], self.gated("U")
+        inputs += p["b"].reshape(3, 1, 1, n)
+        before, states, c, un = (np.empty((window, streams, n), kind) for _ in range(4))
         for t in range(window):
-            before = h * open_[t]
-            u = before @ p["U"]
-            gates = _sigmoid(inputs[t, :, : 2 * n] + u[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            c = np.tanh(inputs[t, :, 2 * n :] + r * u[:, 2 * n :])
-            h = states[t] = c + z * (before - c)
-            kept.append((before, z, r, c, u[:, 2 * n :]))
+            np.multiply(h, open_[t], out=before[t])
+            h, _, _, c[t], un[t] = self.cell(inputs[:, t], before[t], weights)
+            states[t] = h
         g: dict = {}
         _, dout = self.output(states.reshape(-1, n), y.ravel(), g)
         dout = dout.reshape(window, streams, n)
-        dh, g["U"] = np.zeros((streams, n), kind), np.zeros_like(p["U"])
-        slopes = np.empty((window, streams, 3 * n), dtype=kind)
+        # The gates now lie in ``inputs``; what does not depend on later steps is computed for all of them at once.
+        z, r, rest = inputs[0], inputs[1], 1 - inputs[0]
+        to_z = before - c
+        to_z *= z
+        to_z *= rest
+        to_c = 1 - c * c
+        to_c *= rest
+        un *= r
+        to_r = un * (1 - r)
+        dh, back = np.zeros((streams, n), kind), np.ascontiguousarray(weights.transpose(0, 2, 1))
+        slopes, candidate = np.empty((3, window, streams, n), kind), np.empty((window, streams, n), kind)
         for t in range(window - 1, -1, -1):
-            before, z, r, c, un = kept[t]
             d = dh + dout[t]
-            dc = d * (1 - z) * (1 - c * c)
-            da = slopes[t]
-            da[:, :n] = d * (before - c) * z * (1 - z)
-            da[:, n : 2 * n] = dc * un * r * (1 - r)
-            da[:, 2 * n :] = dc
-            du = np.concatenate([da[:, : 2 * n], dc * r], axis=1)
-            g["U"] += before.T @ du
-            dh = (d * z + du @ p["U"].T) * open_[t]
-        flat, ids = slopes.reshape(-1, 3 * n), x.ravel()
-        order = np.argsort(ids, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-        g["rows"], g["E"] = ids[order][heads], np.add.reduceat(flat[order], heads, axis=0)
-        g["b"] = flat.sum(axis=0)
+            np.multiply(d, to_z[t], out=slopes[0, t])
+            dc = np.multiply(d, to_c[t], out=slopes[2, t])
+            np.multiply(dc, to_r[t], out=slopes[1, t])
+            np.multiply(dc, r[t], out=candidate[t])
+            dh = candidate[t] @ back[2]
+            dh += slopes[0, t] @ back[0]
+            dh += slopes[1, t] @ back[1]
+            d *= z[t]
+            dh += d
+            dh *= open_[t]
+        past, flat = before.reshape(-1, n).T, slopes.reshape(3, -1, n)
+        g["U"] = np.concatenate([past @ flat[0], past @ flat[1], past @ candidate.reshape(-1, n)], axis=1)
+        seen, number = np.zeros(self.symbols, bool), np.empty(self.symbols, np.int64)
+        seen[x] = True
+        g["rows"] = rows = np.flatnonzero(seen)
+        number[rows] = np.arange(len(rows))
+        cells = (number[x.ravel()][:, None] * n + np.arange(n)).ravel()
+        g["E"] = np.concatenate([np.bincount(cells, part.ravel(), len(rows) * n).reshape(-1, n).astype(kind) for part in flat], axis=1)
+        g["b"] = flat.sum(axis=1).ravel()
         return g, h
 
     def train(self, docs: Iterable[np.ndarray], end: int, streams: int = 256, window: int = 16, rate: float = 0.05, clip: float = 1.0, held: int = 1 << 20) -> int:
@@ -146,11 +191,17 @@ class Gru:
                 for k, v in g.items():
                     v *= factor
                     if k == "E":
-                        memory[k][rows] += v * v
-                        self.p[k][rows] -= rate * v / np.sqrt(memory[k][rows])
+                        past = memory[k][rows]
+                        past += v * v
+                        memory[k][rows] = past
+                        v /= np.sqrt(past)
+                        v *= rate
+                        self.p[k][rows] -= v
                     else:
                         memory[k] += v * v
-                        self.p[k] -= rate * v / np.sqrt(memory[k])
+                        v /= np.sqrt(memory[k])
+                        v *= rate
+                        self.p[k] -= v
 
         for doc in docs:
             if len(doc):
@@ -172,30 +223,32 @@ class Gru:
             self.p[k] = flat[at : at + self.p[k].size].astype(np.float32).reshape(self.p[k].shape)
             at += self.p[k].size
 
-    def score(self, docs: list[np.ndarray], end: int, window: int = 32, together: int = 2048) -> np.ndarray:
-        """Natural log-probability of each whole document (symbol arrays that close with ``end``)."""
+    def score(self, docs: list[np.ndarray], end: int, window: int = 32, together: int = 2048, held: int = 1 << 13) -> np.ndarray:
+        """Natural log-probability of each whole document (symbol arrays that close with ``end``); outputs of some ``held`` tokens at a time."""
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
-        out = np.zeros(len(docs))
+        out, inputs, weights = np.zeros(len(docs)), self.gated("E") + self.p["b"].reshape(3, 1, -1), self.gated("U")
         for begin in range(0, len(order), together):
             mine = order[begin : begin + together]
             length = sizes[mine]
+            flat, starts = np.concatenate([docs[k] for k in mine]), np.cumsum(length) - length
             h = np.zeros((len(mine), self.hidden), dtype=np.float32)
             last = np.full(len(mine), end)
             for at in range(0, int(length[0]) if len(length) else 0, window):
                 n = int(np.searchsorted(-length, -at, side="left"))
-                block = np.full((n, window), -1, dtype=np.int64)
-                for row, k in zip(block, mine[:n]):
-                    part = docs[k][at : at + window]
-                    row[: len(part)] = part
-                states, targets, owners = [], [], []
-                for t in range(min(window, int(length[0]) - at)):
+                block = flat[np.minimum(starts[:n] + np.arange(at, at + window)[:, None], len(flat) - 1)]  # what lies beyond a document's end is not used
+                states, targets, owners, size = [], [], [], 0
+                steps = min(window, int(length[0]) - at)
+                for t in range(steps):
                     n = int(np.searchsorted(-length, -(at + t), side="left"))
-                    h = self.step(last[:n], h[:n])[0]
-                    last = block[:n, t]
+                    h = self.cell(inputs[:, last[:n]], h[:n], weights)[0]
+                    last = block[t, :n]
                     states.append(h)
                     targets.append(last)
                     owners.append(mine[:n])
-                found, _ = self.output(np.concatenate(states), np.concatenate(targets))
-                np.add.at(out, np.concatenate(owners), found)
+                    size += n
+                    if size >= held or t == steps - 1:
+                        found, _ = self.output(np.concatenate(states), np.concatenate(targets))
+                        out += np.bincount(np.concatenate(owners), found, len(out))
+                        states, targets, owners, size = [], [], [], 0
         return out
