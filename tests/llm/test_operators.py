@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -529,6 +530,48 @@ def test_gru_probabilities_out_of_range_of_plain_exponentials():
         assert all(np.isfinite(v).all() for v in grads.values())
 
 
+def test_gru_gates_lie_apart(monkeypatch):
+    """What enters the cell lies in one piece for each gate, in training and in scoring; an index array laid it out row by row."""
+    seen, cell = [], Gru.cell
+
+    def watched(self, a, h, weights):
+        seen.append(all(part.flags.c_contiguous for part in a))
+        return cell(self, a, h, weights)
+
+    monkeypatch.setattr(Gru, "cell", watched)
+    model, docs = Gru(np.ones(40), hidden=4, size=8), [np.append(np.random.default_rng(k).integers(1, 40, 30), 0) for k in range(20)]
+    model.train(docs, end=0, streams=8, window=4)
+    trained = len(seen)
+    model.score(docs, 0)
+    assert 0 < trained < len(seen) and all(seen)
+
+
+ODD_TEXTS = [
+    None, b"", b" \t\n", b"The the THE, end. end.. end.!;", b" \t a!!!!!!!!!!!!b !!!!!!!!!!!! ,,;; . a. ", b"caf\xc3\xa9. \xe3\x80\x80 \xc2\xa0 \xff\xfe", b"x\x0by\x0cz\x1cq\x85 ", b"z",
+    b"word " * 500 + b"rare" + b"." * 40,
+]
+
+
+def test_lm_reads_the_texts_of_a_batch_together():
+    """No Python call for each token: symbols, sums and rare words of a batch are those of a plain loop."""
+    texts = pa.array(ODD_TEXTS, pa.binary()).view(pa.string())
+    words = [(t or b"").lower().split() for t in ODD_TEXTS]
+    kinds = sorted({w for ws in words for w in ws})
+    assert lm.classes_of(pa.array(kinds, pa.binary())).tolist() == [lm.class_of(w) for w in kinds]
+    for frequent in ([(b"the", 9), (b"word", 7), (b"a.", 3)], []):
+        symbols = lm.Symbols(frequent, 2, np.full(lm.CLASSES, 0.5), 4, 100, 20)
+        number = lambda w: symbols.words[w] if w in symbols.words else symbols.classes[lm.class_of(w)]  # noqa: B023, E731
+        base = {w: math.log10((c + 0.5) / symbols.total) for w, c in frequent}
+        got, codes = symbols.read(texts), [[*map(number, ws), symbols.end] for ws in words]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got["codes"].to_pylist()] == codes and got["n_tokens"].tolist() == [len(c) for c in codes]
+        assert got["known"].tolist() == [sum(w in base for w in ws) + 1 for ws in words]
+        assert got["base"] == pytest.approx([sum(base.get(w, 0) for w in ws) + symbols.end_base for ws in words])
+        assert got["plain"] == pytest.approx([symbols.log_base[c].sum() for c in codes])
+        rare = list(zip(got["rare"][0].tolist(), got["rare"][1].to_pylist(), got["rare"][2].tolist()))
+        assert sorted(rare) == sorted((i, w, n) for i, ws in enumerate(words) for w, n in Counter(ws).items() if w not in base)
+        assert symbols.read(texts.slice(0, 0))["n_tokens"].tolist() == []
+
+
 def test_lm_averages_in_a_tree(spark):
     rows = [(n, np.full(3, v, "<f4").tobytes()) for n, v in ((1, 1.0), (2, 4.0), (3, 7.0), (4, 2.0))]
     models = spark.createDataFrame(rows, "tokens long, flat binary").repartition(4)

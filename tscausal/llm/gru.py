@@ -48,20 +48,34 @@ class Gru:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def gated(self, name: str) -> np.ndarray:
-        """The parameter's parts for the update gate, the reset gate and the candidate, each by itself: (3, row, unit)."""
-        p = self.p[name]
-        return np.ascontiguousarray(p.reshape(len(p), 3, self.hidden).transpose(1, 0, 2))
+    def gated(self, name: str, rows: np.ndarray | None = None) -> np.ndarray:
+        """The parameter's parts (of ``rows``) for the update gate, the reset gate and the candidate, each by itself: (3, row, unit).
+
+        Those of the gates are halved, as ``cell`` takes them: 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2.
+        """
+        p = self.p[name] if rows is None else self.p[name].take(rows, axis=0)
+        out = np.ascontiguousarray(p.reshape(-1, 3, self.hidden).transpose(1, 0, 2))
+        out[:2] *= 0.5
+        return out
+
+    def inputs(self, rows: np.ndarray | None = None) -> np.ndarray:
+        """What each symbol (of ``rows``) brings to the gates and the candidate, with their biases, ``gated``.
+
+        To be read by ``take``: an index array would lay the result out by row, with the gates of a row side by side.
+        """
+        biases = self.p["b"].reshape(3, 1, -1) * np.array([0.5, 0.5, 1], self.p["b"].dtype)[:, None, None]
+        out = self.gated("E", rows)
+        out += biases
+        return out
 
     def cell(self, a: np.ndarray, h: np.ndarray, weights: np.ndarray) -> tuple:
         """State after ``h`` with inputs ``a`` (gate, row, unit; overwritten), the update and reset gates, the candidate and its part of ``h``; ``weights``: U, ``gated``."""
         u = np.matmul(h, weights)
         gates = a[:2]
         gates += u[:2]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
         z, r = gates
         c = r * u[2]
         c += a[2]
@@ -72,8 +86,7 @@ class Gru:
         return new, z, r, c, u[2]
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        inputs = self.gated("E") + self.p["b"].reshape(3, 1, -1)
-        return self.cell(inputs[:, x], h, self.gated("U"))
+        return self.cell(self.inputs().take(x, axis=1), h, self.gated("U"))
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the symbols ``y`` after states ``h``; with ``grads`` also the slope of their mean's negative.
@@ -81,7 +94,7 @@ class Gru:
         Within classes the rows lie together by class: only the products are made class by class.
         """
         p, of, at = self.p, y // self.size, y % self.size
-        rows = np.arange(len(y))
+        rows, ones = np.arange(len(y)), np.ones(len(y), h.dtype)
 
         def slope(e: np.ndarray, total: np.ndarray, at: np.ndarray) -> np.ndarray:
             e *= (1 / (total * len(y)))[:, None]
@@ -95,12 +108,12 @@ class Gru:
         dh = None
         if grads is not None:
             d = slope(e, total, of)
-            grads["Wc"], grads["bc"], dh = h.T @ d, d.sum(axis=0), d @ p["Wc"].T
+            grads["Wc"], grads["bc"], dh = h.T @ d, ones @ d, d @ p["Wc"].T
         order = np.argsort(of.astype(np.uint16) if len(p["bc"]) <= 1 << 16 else of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(len(p["bc"]) + 1))
         parts = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
         # A unit that is always 1 brings in the biases, and their slopes.
-        h, at = np.concatenate([h, np.ones((len(y), 1), h.dtype)], axis=1)[order], at[order]
+        h, at = np.concatenate([h, ones[:, None]], axis=1).take(order, axis=0), at[order]
         weights = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1)
         inner = np.empty((len(y), self.size), logits.dtype)
         for k, mine in parts:
@@ -113,7 +126,9 @@ class Gru:
                 np.matmul(h[mine].T, d[mine], out=both[k])
                 np.matmul(d[mine], p["Wo"][k].T, out=back[mine])
             grads["Wo"], grads["bo"] = both[:, :-1].copy(), both[:, -1].copy()
-            dh[order] += back
+            place = np.empty_like(order)
+            place[order] = rows
+            dh += back.take(place, axis=0)
         return out, dh
 
     def slopes(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray]:
@@ -124,14 +139,18 @@ class Gru:
         n, p = self.hidden, self.p
         (window, streams), kind = x.shape, p["U"].dtype
         open_ = (x != end)[:, :, None].astype(kind)
-        inputs, weights = self.gated("E")[:, x], self.gated("U")
-        inputs += p["b"].reshape(3, 1, 1, n)
+        seen, number = np.zeros(self.symbols, bool), np.empty(self.symbols, np.int64)
+        seen[x] = True
+        rows = np.flatnonzero(seen)
+        number[rows] = np.arange(len(rows))
+        number = number[x]
+        inputs, weights = self.inputs(rows).take(number, axis=1), self.gated("U")
         before, states, c, un = (np.empty((window, streams, n), kind) for _ in range(4))
         for t in range(window):
             np.multiply(h, open_[t], out=before[t])
             h, _, _, c[t], un[t] = self.cell(inputs[:, t], before[t], weights)
             states[t] = h
-        g: dict = {}
+        g: dict = {"rows": rows}
         _, dout = self.output(states.reshape(-1, n), y.ravel(), g)
         dout = dout.reshape(window, streams, n)
         # The gates now lie in ``inputs``; what does not depend on later steps is computed for all of them at once.
@@ -143,7 +162,7 @@ class Gru:
         to_c *= rest
         un *= r
         to_r = un * (1 - r)
-        dh, back = np.zeros((streams, n), kind), np.ascontiguousarray(weights.transpose(0, 2, 1))
+        dh, back = np.zeros((streams, n), kind), np.ascontiguousarray(p["U"].reshape(n, 3, n).transpose(1, 2, 0))
         slopes, candidate = np.empty((3, window, streams, n), kind), np.empty((window, streams, n), kind)
         for t in range(window - 1, -1, -1):
             d = dh + dout[t]
@@ -159,13 +178,9 @@ class Gru:
             dh *= open_[t]
         past, flat = before.reshape(-1, n).T, slopes.reshape(3, -1, n)
         g["U"] = np.concatenate([past @ flat[0], past @ flat[1], past @ candidate.reshape(-1, n)], axis=1)
-        seen, number = np.zeros(self.symbols, bool), np.empty(self.symbols, np.int64)
-        seen[x] = True
-        g["rows"] = rows = np.flatnonzero(seen)
-        number[rows] = np.arange(len(rows))
-        cells = (number[x.ravel()][:, None] * n + np.arange(n)).ravel()
-        g["E"] = np.concatenate([np.bincount(cells, part.ravel(), len(rows) * n).reshape(-1, n).astype(kind) for part in flat], axis=1)
-        g["b"] = flat.sum(axis=1).ravel()
+        cells = (number.reshape(-1, 1) * n + np.arange(n)).ravel()
+        sums = np.concatenate([np.bincount(cells, part.ravel(), len(rows) * n).reshape(-1, n) for part in flat], axis=1)
+        g["E"], g["b"] = sums.astype(kind), sums.sum(axis=0).astype(kind)
         return g, h
 
     def train(self, docs: Iterable[np.ndarray], end: int, streams: int = 256, window: int = 16, rate: float = 0.05, clip: float = 1.0, held: int = 1 << 20) -> int:
@@ -191,7 +206,7 @@ class Gru:
                 for k, v in g.items():
                     v *= factor
                     if k == "E":
-                        past = memory[k][rows]
+                        past = memory[k].take(rows, axis=0)
                         past += v * v
                         memory[k][rows] = past
                         v /= np.sqrt(past)
@@ -227,7 +242,7 @@ class Gru:
         """Natural log-probability of each whole document (symbol arrays that close with ``end``); outputs of some ``held`` tokens at a time."""
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
-        out, inputs, weights = np.zeros(len(docs)), self.gated("E") + self.p["b"].reshape(3, 1, -1), self.gated("U")
+        out, inputs, weights = np.zeros(len(docs)), self.inputs(), self.gated("U")
         for begin in range(0, len(order), together):
             mine = order[begin : begin + together]
             length = sizes[mine]
@@ -241,7 +256,7 @@ class Gru:
                 steps = min(window, int(length[0]) - at)
                 for t in range(steps):
                     n = int(np.searchsorted(-length, -(at + t), side="left"))
-                    h = self.cell(inputs[:, last[:n]], h[:n], weights)[0]
+                    h = self.cell(inputs.take(last[:n], axis=1), h[:n], weights)[0]
                     last = block[t, :n]
                     states.append(h)
                     targets.append(last)

@@ -16,11 +16,11 @@ log p(word) = log p(symbol | history) - log base(symbol) + log base(word).
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +38,45 @@ def class_of(word: bytes) -> int:
     return (TRAILING.find(word[len(stem) : len(stem) + 1]) + 1 if len(stem) < len(word) else 0) * ENDINGS + zlib.crc32(stem[-2:]) % ENDINGS
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte the place of a trailing mark, from 1 (0: none); the last part of ``class_of`` by the one or two last bytes of a stem."""
+    marks = np.array([TRAILING.find(bytes([b])) + 1 for b in range(256)])
+    one = np.array([zlib.crc32(bytes([b])) % ENDINGS for b in range(256)])
+    return marks, one, np.array([zlib.crc32(bytes([a, b])) % ENDINGS for a in range(256) for b in range(256)])
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    """``class_of`` of each of the words (binary or string)."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    marks, one, two = _tables()
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data and data.size else np.zeros(1, np.uint8)
+    begin, end = offsets[:-1], offsets[1:]
+    stem, left = end.copy(), np.arange(len(words))
+    for _ in range(8):
+        left = left[stem[left] > begin[left]]
+        left = left[marks[data[stem[left] - 1]] > 0]
+        stem[left] -= 1
+    mark = np.where(stem < end, marks[data[np.minimum(stem, len(data) - 1)]], 0)
+    last, before = data[np.maximum(stem - 1, 0)].astype(np.int64), data[np.maximum(stem - 2, 0)].astype(np.int64)
+    ending = np.select([stem - begin > 1, stem - begin == 1], [two[before * 256 + last], one[last]], zlib.crc32(b"") % ENDINGS)
+    out = mark * ENDINGS + ending
+    for i in left.tolist():  # more marks than were looked at
+        out[i] = class_of(data[begin[i] : end[i]].tobytes())
+    return out
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts (string) one after another, without end marks, and the place of the text each is of."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, of = parts.flatten(), np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    full = pc.not_equal(pc.binary_length(words), 0)  # outer white space leaves empty parts
+    if not pc.all(full).as_py():
+        words, of = words.filter(full), of[full.to_numpy(zero_copy_only=False)]
+    return words, of
 
 
 def held_out(column: str = "doc_id"):
@@ -51,24 +88,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(tokens_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
+            found = pc.value_counts(tokens_of(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([found.field(0).view(pa.binary()), found.field(1)], ["token", "c"])
 
     return texts.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def class_masses(counts: DataFrame, words: list[bytes]) -> np.ndarray:
     """Base mass (count + 1/2 each, and 1/2 for unseen words) of the classes over all words but ``words``."""
-    shipped = counts.sparkSession.sparkContext.broadcast(frozenset(words))
+    shipped = counts.sparkSession.sparkContext.broadcast(pa.array(words, pa.binary()))
 
     def run(batches):
         for batch in batches:
-            mass = np.zeros(CLASSES)
-            for token, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if token not in shipped.value:
-                    mass[class_of(token)] += c + 0.5
+            tokens = batch.column(0).cast(pa.binary())
+            mine = pc.invert(pc.is_in(tokens, value_set=shipped.value))
+            mass = np.bincount(classes_of(tokens.filter(mine)), batch.column(1).filter(mine).to_numpy(zero_copy_only=False) + 0.5, CLASSES)
             at = np.flatnonzero(mass)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[at])], ["k", "mass"])
 
@@ -104,22 +138,31 @@ class Symbols:
                 self.end = i
         self.end_base, self.end_known = float(np.log10((n_docs + 0.5) / self.total)), int(n_docs > 0)
         # One lookup per word: place of a frequent word, and by place its symbol and base log-probability.
-        self.place = {w: i for i, (w, _) in enumerate(frequent)}
+        self.frequent = pa.array([w for w, _ in frequent], pa.binary())
         self.symbol_at = np.array([self.words[w] if w in self.words else self.classes[class_of(w)] for w, _ in frequent], dtype=np.int64)
         self.log_at = np.log10((np.array([c for _, c in frequent], dtype=np.float64) + 0.5) / self.total)
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, float, Counter]:
-        """Symbols of the words and the end, base log-probability of the frequent words, and the other words."""
-        at = np.array(list(map(self.place.get, words, repeat(-1))), dtype=np.int64)
-        codes = np.full(len(words) + 1, self.end, dtype=np.int64)
+    def read(self, texts: pa.Array) -> dict:
+        """What ``coded`` gives of each text, and under ``rare`` the other words: the place of the text, word and times."""
+        words, of = tokens_of(texts)
+        n, words = len(texts), words.view(pa.binary())
+        at = pc.fill_null(pc.index_in(words, value_set=self.frequent), -1).to_numpy(zero_copy_only=False)
         known = at >= 0
-        if known.all():
-            codes[:-1] = self.symbol_at[at] if len(at) else at
-            return codes, float(self.log_at[at].sum()) if len(at) else 0.0, Counter()
-        codes[:-1][known] = self.symbol_at[at[known]]
-        rest = [words[i] for i in np.flatnonzero(~known).tolist()]
-        codes[:-1][~known] = [self.classes[class_of(w)] for w in rest]
-        return codes, float(self.log_at[at[known]].sum()), Counter(rest)
+        other = words.filter(pa.array(~known)).dictionary_encode()
+        kinds, which, theirs = other.dictionary, other.indices.to_numpy(zero_copy_only=False), of[~known]
+        mine = np.empty(len(at), np.int64)
+        mine[known], mine[~known] = self.symbol_at[at[known]], self.classes[classes_of(kinds)][which]
+        pairs, times = np.unique(theirs * max(len(kinds), 1) + which, return_counts=True)
+        sizes = np.bincount(of, minlength=n) + 1
+        codes = np.full(len(at) + n, self.end, "<u2")
+        codes[np.arange(len(at)) + of] = mine
+        return {
+            "n_tokens": sizes, "known": np.bincount(of[known], minlength=n) + self.end_known,
+            "base": np.bincount(of[known], self.log_at[at[known]], n) + self.end_base,
+            "plain": np.bincount(of, self.log_base[mine], n) + self.log_base[self.end],
+            "codes": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, 2 * np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(codes)]),
+            "rare": (pairs // max(len(kinds), 1), kinds.take(pa.array(pairs % max(len(kinds), 1))), times),
+        }
 
 
 def coded(docs: DataFrame, symbols: Symbols) -> DataFrame:
@@ -133,25 +176,15 @@ def coded(docs: DataFrame, symbols: Symbols) -> DataFrame:
     def run(batches):
         symbols = shipped.value
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
-            keys, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            codes, n, known, base, plain, of, rare, times = ([] for _ in range(8))
-            for i, text in enumerate(batch.column(4).cast(pa.binary()).to_pylist()):
-                words = tokens_of(text)
-                mine, log, others = symbols.read(words)
-                of += [i] * len(others)
-                rare += others.keys()
-                times += others.values()
-                codes.append(mine.astype("<u2").tobytes())
-                n.append(len(mine))
-                known.append(len(words) - others.total() + symbols.end_known)
-                base.append(log + symbols.end_base)
-                plain.append(float(symbols.log_base[mine].sum()))
-            none, gap = [None] * len(of), [None] * len(n)
+            found = symbols.read(batch.column(4))
+            of, rare, times = found["rare"]
+            blank, gap = lambda kind: pa.nulls(len(of), kind), lambda kind: pa.nulls(batch.num_rows, kind)
             columns = [
-                pa.array(batch.column(0).to_pylist() + none, pa.int64()), pa.array(batch.column(1).to_pylist() + none, pa.bool_()),
-                pa.array(keys + [keys[i] for i in of], pa.int64()), pa.array(sizes + [sizes[i] for i in of], pa.int32()),
-                *(pa.array(x + none, kind) for x, kind in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (plain, pa.float64()), (codes, pa.binary()))),
-                pa.array(gap + rare, pa.binary()), pa.array(gap + times, pa.int64()),
+                *(pa.concat_arrays([batch.column(i), blank(batch.column(i).type)]) for i in (0, 1)),
+                *(pa.concat_arrays([batch.column(i), batch.column(i).take(pa.array(of))]) for i in (2, 3)),
+                *(pa.concat_arrays([pa.array(found[x], kind), blank(kind)]) for x, kind in (("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("plain", pa.float64()))),
+                pa.concat_arrays([found["codes"], blank(pa.binary())]),
+                pa.concat_arrays([gap(pa.binary()), rare]), pa.concat_arrays([gap(pa.int64()), pa.array(times, pa.int64())]),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
