@@ -94,26 +94,27 @@ class Gru:
         Within classes the rows lie together by class: only the products are made class by class.
         """
         p, of, at = self.p, y // self.size, y % self.size
-        rows, ones = np.arange(len(y)), np.ones(len(y), h.dtype)
+        rows = np.arange(len(y))
+        # A unit that is always 1 brings in the biases, and their slopes.
+        h = np.concatenate([h, np.ones((len(y), 1), h.dtype)], axis=1)
 
         def slope(e: np.ndarray, total: np.ndarray, at: np.ndarray) -> np.ndarray:
             e *= (1 / (total * len(y)))[:, None]
             e[rows, at] -= 1 / len(y)
             return e
 
-        logits = h @ p["Wc"]
-        logits += p["bc"]
+        logits = h @ np.concatenate([p["Wc"], p["bc"][None]])
         e, total, shift = _exps(logits)
         out = (logits[rows, of] - shift - np.log(total)).astype(np.float64)
         dh = None
         if grads is not None:
             d = slope(e, total, of)
-            grads["Wc"], grads["bc"], dh = h.T @ d, ones @ d, d @ p["Wc"].T
+            both = h.T @ d
+            grads["Wc"], grads["bc"], dh = both[:-1], both[-1], d @ p["Wc"].T
         order = np.argsort(of.astype(np.uint16) if len(p["bc"]) <= 1 << 16 else of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(len(p["bc"]) + 1))
         parts = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
-        # A unit that is always 1 brings in the biases, and their slopes.
-        h, at = np.concatenate([h, ones[:, None]], axis=1).take(order, axis=0), at[order]
+        h, at = h.take(order, axis=0), at[order]
         weights = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1)
         inner = np.empty((len(y), self.size), logits.dtype)
         for k, mine in parts:
@@ -125,7 +126,7 @@ class Gru:
             for k, mine in parts:
                 np.matmul(h[mine].T, d[mine], out=both[k])
                 np.matmul(d[mine], p["Wo"][k].T, out=back[mine])
-            grads["Wo"], grads["bo"] = both[:, :-1].copy(), both[:, -1].copy()
+            grads["Wo"], grads["bo"] = both[:, :-1], both[:, -1]
             place = np.empty_like(order)
             place[order] = rows
             dh += back.take(place, axis=0)
@@ -138,7 +139,7 @@ class Gru:
         """
         n, p = self.hidden, self.p
         (window, streams), kind = x.shape, p["U"].dtype
-        open_ = (x != end)[:, :, None].astype(kind)
+        ends = [np.flatnonzero(row == end) for row in x]
         seen, number = np.zeros(self.symbols, bool), np.empty(self.symbols, np.int64)
         seen[x] = True
         rows = np.flatnonzero(seen)
@@ -147,7 +148,8 @@ class Gru:
         inputs, weights = self.inputs(rows).take(number, axis=1), self.gated("U")
         before, states, c, un = (np.empty((window, streams, n), kind) for _ in range(4))
         for t in range(window):
-            np.multiply(h, open_[t], out=before[t])
+            before[t] = h
+            before[t][ends[t]] = 0
             h, _, _, c[t], un[t] = self.cell(inputs[:, t], before[t], weights)
             states[t] = h
         g: dict = {"rows": rows}
@@ -175,12 +177,15 @@ class Gru:
             dh += slopes[1, t] @ back[1]
             d *= z[t]
             dh += d
-            dh *= open_[t]
+            dh[ends[t]] = 0
         past, flat = before.reshape(-1, n).T, slopes.reshape(3, -1, n)
         g["U"] = np.concatenate([past @ flat[0], past @ flat[1], past @ candidate.reshape(-1, n)], axis=1)
         cells = (number.reshape(-1, 1) * n + np.arange(n)).ravel()
-        sums = np.concatenate([np.bincount(cells, part.ravel(), len(rows) * n).reshape(-1, n) for part in flat], axis=1)
-        g["E"], g["b"] = sums.astype(kind), sums.sum(axis=0).astype(kind)
+        sums = np.zeros((3, len(rows) * n), kind)
+        for total, part in zip(sums, flat):
+            np.add.at(total, cells, part.ravel())
+        g["E"] = np.concatenate(list(sums.reshape(3, -1, n)), axis=1)
+        g["b"] = g["E"].sum(axis=0)
         return g, h
 
     def train(self, docs: Iterable[np.ndarray], end: int, streams: int = 256, window: int = 16, rate: float = 0.05, clip: float = 1.0, held: int = 1 << 20) -> int:
@@ -204,7 +209,8 @@ class Gru:
                 norm = float(np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))
                 factor = min(1.0, clip / (norm + 1e-9))
                 for k, v in g.items():
-                    v *= factor
+                    if factor < 1:
+                        v *= factor
                     if k == "E":
                         past = memory[k].take(rows, axis=0)
                         past += v * v
@@ -247,15 +253,15 @@ class Gru:
             mine = order[begin : begin + together]
             length = sizes[mine]
             flat, starts = np.concatenate([docs[k] for k in mine]), np.cumsum(length) - length
-            h = np.zeros((len(mine), self.hidden), dtype=np.float32)
+            h, down = np.zeros((len(mine), self.hidden), dtype=np.float32), -length
             last = np.full(len(mine), end)
             for at in range(0, int(length[0]) if len(length) else 0, window):
-                n = int(np.searchsorted(-length, -at, side="left"))
+                n = int(np.searchsorted(down, -at, side="left"))
                 block = flat[np.minimum(starts[:n] + np.arange(at, at + window)[:, None], len(flat) - 1)]  # what lies beyond a document's end is not used
                 states, targets, owners, size = [], [], [], 0
                 steps = min(window, int(length[0]) - at)
                 for t in range(steps):
-                    n = int(np.searchsorted(-length, -(at + t), side="left"))
+                    n = int(np.searchsorted(down, -(at + t), side="left"))
                     h = self.cell(inputs.take(last[:n], axis=1), h[:n], weights)[0]
                     last = block[t, :n]
                     states.append(h)
